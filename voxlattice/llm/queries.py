@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import license_scan, quality_rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rules and the boosted trees' verdict for all documents."""
+    docs = table(spark, sf_dir, "documents")
+    forest = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.apply(docs, forest)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and fuzzy licence notices in all documents."""
+    return license_scan.digest(license_scan.find_notices(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash": op4_simhash}
+    return {
+        "op4_simhash": op4_simhash,
+        "op6_quality_rules": op6_quality_rules,
+        "op8_license_scan": op8_license_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

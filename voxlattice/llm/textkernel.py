@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # An odd 64-bit base of the prefix sum, and the multipliers of the 64-bit finaliser.
 BASE = 0x9E3779B97F4A7C15
@@ -70,7 +71,7 @@ def slices(col: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     if not len(col):
         return
     col = col.fill_null("") if col.null_count else col
-    size = np.asarray(pa.compute.binary_length(col), np.int64)
+    size = np.asarray(pc.binary_length(col), np.int64)
     end = np.cumsum(size)
     at = 0
     while at < len(size):
