@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules, simhash
+from . import license_scan, quality_rules, sharding, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact histogram of encoded lengths of all documents."""
+    return token_counts.histogram(token_counts.token_counts(table(spark, sf_dir, "documents")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, base rules and the boosted trees' verdict for all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -27,6 +32,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, forest)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents interleaved into 16 shards."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases and fuzzy licence notices in all documents."""
     return license_scan.digest(license_scan.find_notices(table(spark, sf_dir, "documents")))
@@ -35,7 +45,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash": op4_simhash,
+        "op5_token_counts": op5_token_counts,
         "op6_quality_rules": op6_quality_rules,
+        "op7_sharding": op7_sharding,
         "op8_license_scan": op8_license_scan,
     }
 

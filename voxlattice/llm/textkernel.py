@@ -81,6 +81,20 @@ def slices(col: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    up, _ = powers(len(data) + 1)
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(up[:-1] * data, out=out[1:])
+    return out
+
+
+def segment_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte segment, equal for equal bytes wherever they stand."""
+    _, down = powers(len(prefix))
+    value = (prefix[end] - prefix[start]) * down[start]
+    return mix(value + (end - start).astype(np.uint64) * np.uint64(MIX_1))
+
+
 class Texts:
     """The words of a batch of texts. `lower` maps A-Z to a-z first."""
 
@@ -115,15 +129,9 @@ class Texts:
 
     def segment_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each byte segment, equal for equal bytes wherever they stand."""
-        n = len(self.data)
         if self._prefix is None:
-            up, _ = powers(n + 1)
-            self._prefix = np.zeros(n + 1, np.uint64)
-            terms = up[:n] * self.data
-            np.cumsum(terms, out=self._prefix[1:])
-        _, down = powers(n + 1)
-        value = (self._prefix[end] - self._prefix[start]) * down[start]
-        return mix(value + (end - start).astype(np.uint64) * np.uint64(MIX_1))
+            self._prefix = prefix_sums(self.data)
+        return segment_hash(self._prefix, start, end)
 
     def word_hash(self) -> np.ndarray:
         return self.segment_hash(self.start, self.end)
