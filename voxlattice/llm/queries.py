@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules, sharding, simhash, token_counts
+from . import license_scan, quality_rules, sharding, simhash, token_counts, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), 0)
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token-ID shards in training order, read back: a row a sequence."""
+    return token_output.materialise(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -44,6 +54,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
+        "op3_token_output": op3_token_output,
         "op4_simhash": op4_simhash,
         "op5_token_counts": op5_token_counts,
         "op6_quality_rules": op6_quality_rules,
