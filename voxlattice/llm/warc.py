@@ -178,8 +178,8 @@ def records(source: BinaryIO, with_payload: bool = False) -> Iterator[dict]:
         }
 
 
-def plan_revisits(pages: DataFrame, dealt: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """dealt, which holds the rows of pages (page_id, url, html), with refers_to: the page_id of the response for revisits, else null.
+def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """page_id, refers_to for those pages (page_id, html) that revisit the payload of the page refers_to.
 
     Of payloads that are equal and have least_bytes or more, the one with the largest page_id is the response. A hot
     payload meets only in an aggregation that combines before the shuffle, and in a join that Spark can split.
@@ -187,8 +187,7 @@ def plan_revisits(pages: DataFrame, dealt: DataFrame, least_bytes: int = 0) -> D
     raw = F.coalesce(F.col("html"), F.lit(""))
     key = pages.select("page_id", F.sha1(F.encode(raw, "UTF-8")).alias("k"), F.octet_length(raw).alias("n")).where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull())
     first = key.groupBy("k", "n").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    refers = key.join(first, ["k", "n"]).where("page_id <> response").select("page_id", "response").distinct()
-    return dealt.join(refers.withColumnRenamed("response", "refers_to"), "page_id", "left")
+    return key.join(first, ["k", "n"]).where("page_id <> response").groupBy("page_id").agg(F.max("response").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
@@ -204,8 +203,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     if missing:
         raise ValueError(f"{missing} pages have no page_id")
     n = max(math.ceil((total or 0) / archive_bytes), spark.sparkContext.defaultParallelism)
-    # Dealt out by page_id before the join on page_id, so the payloads are shuffled once.
-    dealt = plan_revisits(rows, rows.repartition(n, "page_id"), least_bytes).sortWithinPartitions("page_id", "url", "html").withColumn("part", F.spark_partition_id())
+    # Both sides of the join on page_id are dealt out alike before it, so the payloads are shuffled once.
+    refers = plan_revisits(rows, least_bytes).repartition(n, "page_id")
+    dealt = rows.repartition(n, "page_id").join(refers, "page_id", "left").sortWithinPartitions("page_id", "url", "html").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[int, WholeFile, BinaryIO] | None = None
