@@ -170,7 +170,10 @@ def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     """Distinct fingerprints (column fp) -> links (a, b) that connect exactly what links at MAX_BITS bits connect."""
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     high = F.shiftrightunsigned("fp", 32)
-    sent = fps.select("fp", F.explode(F.concat(_anchors(low, 0), _anchors(high, 1))).alias("anchor"))
+    # The distinct fingerprints are few bytes, and Spark would put them into few tasks; the fan-out is what costs.
+    # explode_outer: for explode, the optimizer adds a filter that computes all anchors once more.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    sent = fps.select("fp", F.explode_outer(F.concat(_anchors(low, 0), _anchors(high, 1))).alias("anchor"))
     met = sent.select("anchor", "fp", F.count(F.lit(1)).over(Window.partitionBy("anchor")).alias("m")).where("m > 1")
     cold = met.where(F.col("m") <= tile).select("anchor", "fp").mapInArrow(_runs, "a long, b long")
     n = F.ceil(F.col("m") / F.lit(tile)).cast("int")
