@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, mixing, quality_rules, sharding, simhash, token_counts, token_output, warc
+from . import decontamination, license_scan, mixing, quality_rules, sharding, simhash, substring_dedup, token_counts, token_output, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), 0)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share."""
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token-ID shards in training order, read back: a row a sequence."""
     return token_output.materialise(table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_token_output": op3_token_output,
         "op4_simhash": op4_simhash,
         "op5_token_counts": op5_token_counts,
