@@ -2,7 +2,9 @@
 
 Token weights are summed up to cells (a value of each dimension), which combines before the shuffle. Cells are raked:
 scaled to each dimension's target shares in turn, again and again, until all margins hold. A document's probability is
-its cell's factor relative to the largest factor, and a hash of its id decides, so a sample is repeatable row by row.
+its cell's factor times a common rate, and a hash of its id decides, so a sample is repeatable row by row. The rate is
+the largest at which cells with a share COVERAGE of the raked weight have a probability of one at most; the few rare
+cells beyond are kept whole (a document cannot be sampled more than once), else one tiny cell could shrink the sample.
 
 The number of cells is bounded by the targets: values that a target does not name fall into one rest category, so there
 are at most product(len(target) + 1) cells however many documents and sources there are. That proven bound (checked
@@ -14,11 +16,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_CELLS = 50_000
 ROUNDS = 60
+#: Share of the raked weight whose probabilities are exact.
+COVERAGE = 0.95
 SEED = "mixture-1"
 REST = "*"
 
@@ -76,7 +80,7 @@ def rake(cells: DataFrame, dims: dict[str, dict[str, float]], rounds: int = ROUN
 
 
 def calibrated(rows: DataFrame, targets: dict[str, dict[str, float]], weight_col: str, rounds: int = ROUNDS) -> DataFrame:
-    """rows with _factor and _probability (the factor over the largest). rows need the targets' columns as strings."""
+    """rows with _factor and _probability. rows need the targets' columns as strings."""
     bound = math.prod(len(t) + 1 for t in targets.values())
     if bound > MOST_CELLS:
         raise ValueError(f"the targets allow {bound} cells; the bound is {MOST_CELLS}")
@@ -84,9 +88,13 @@ def calibrated(rows: DataFrame, targets: dict[str, dict[str, float]], weight_col
     keys = [f"_{d}" for d in range(len(targets))]
     cells = numbered.groupBy(*keys).agg(F.sum(F.col(weight_col)).cast("double").alias("weight"))
     raked = rake(cells, targets, rounds)
-    most = raked.agg(F.max("factor").alias("_most"))
-    # At most `bound` rows, and one row.
-    factors = raked.join(F.broadcast(most)).select(*keys, F.col("factor").alias("_factor"), F.coalesce(F.try_divide("factor", "_most"), F.lit(0.0)).alias("_probability"))
+    # At most `bound` rows in these windows and in the broadcast.
+    share = F.sum(F.col("weight") * F.col("factor"))
+    upto = share.over(Window.orderBy("factor", *keys).rowsBetween(Window.unboundedPreceding, 0))
+    raked = raked.withColumns({"_upto": upto, "_total": share.over(Window.partitionBy())})
+    unit = F.min(F.when(F.col("_upto") >= F.col("_total") * COVERAGE, F.col("factor"))).over(Window.partitionBy())
+    p = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("factor"), unit), F.lit(0.0)))
+    factors = raked.select(*keys, F.col("factor").alias("_factor"), p.alias("_probability"))
     return numbered.join(F.broadcast(factors), keys, "left").drop(*keys)
 
 
@@ -153,8 +161,9 @@ r AS (
   SELECT 0 AS i, {cells}, w AS w0, w FROM cells
   UNION ALL
   SELECT i, {cells}, w0, w FROM {inner} y
-), f AS (SELECT {cells}, coalesce(w / nullif(w0, 0), 0) AS factor FROM r WHERE i = {rounds}),
-p AS (SELECT *, round(coalesce(factor / nullif((SELECT max(factor) FROM f), 0), 0), 6) AS probability FROM f)
+), z AS (SELECT *, sum(w) OVER (ORDER BY factor, {cells} ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER () AS total FROM (SELECT r.*, coalesce(w / nullif(w0, 0), 0) AS factor FROM r WHERE i = {rounds})),
+u AS (SELECT min(factor) AS unit FROM z WHERE upto >= total * {COVERAGE}),
+p AS (SELECT {cells}, factor, round(least(1.0, coalesce(factor / nullif((SELECT unit FROM u), 0), 0)), 6) AS probability FROM z)
 SELECT doc_id, source, lang, topic, n_tokens, round(factor, 6) AS factor, probability,
   ('0x' || substr(md5(concat('{seed}:', coalesce(doc_id::VARCHAR, ''))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < probability AS sampled
 FROM d JOIN p USING ({cells})

@@ -216,6 +216,28 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows:
     return fit(x, (rows["y"].to_numpy() > 0).astype(float), list(FEATURES.values()))
 
 
+def verdicts(col: pa.Array, forest: Forest, keep_from: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """COUNTS, base_failed, probability and kept of each text."""
+    counts, x = statistics(col)
+    n, repeat = counts[:, 0], counts[:, 4]
+    failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
+    p = forest.probability(x)
+    return counts, failed, p, ~failed & (p >= keep_from)
+
+
+def keep_rows(docs: DataFrame, forest: Forest, keep_from: float = KEEP_FROM, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is kept, all columns as they were. Null and empty texts go."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in slices(b.column(at), SLICE):
+                part = b.slice(i, j - i)
+                yield part.filter(pa.array(verdicts(part.column(at), forest, keep_from)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def apply(docs: DataFrame, forest: Forest, keep_from: float = KEEP_FROM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the COUNTS, base_failed, score, kept: one row per document.
 
@@ -227,11 +249,8 @@ def apply(docs: DataFrame, forest: Forest, keep_from: float = KEEP_FROM, id_col:
         for b in batches:
             for i, j in slices(b.column(1), SLICE):
                 part = b.slice(i, j - i)
-                counts, x = statistics(part.column(1))
-                n, repeat = counts[:, 0], counts[:, 4]
-                failed = (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
-                p = forest.probability(x)
-                arrays = [part.column(0), *(pa.array(c) for c in counts.T.copy()), pa.array(failed), pa.array(p), pa.array(~failed & (p >= keep_from))]
+                counts, failed, p, kept = verdicts(part.column(1), forest, keep_from)
+                arrays = [part.column(0), *(pa.array(c) for c in counts.T.copy()), pa.array(failed), pa.array(p), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *COUNTS, "base_failed", "score", "kept"])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"

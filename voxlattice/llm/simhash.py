@@ -68,16 +68,18 @@ def fingerprints_of(col: pa.Array, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long). Null and empty texts have fingerprint zero."""
+    """doc_id, text_key (XXH64 of the text), fp (the fingerprint as a signed long); empty texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in slices(b.column(1), SLICE):
+            for i, j in slices(b.column(2), SLICE):
                 part = b.slice(i, j - i)
-                fp = fingerprints_of(part.column(1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
+                fp = fingerprints_of(part.column(2)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _anchors(half: F.Column, side: int) -> F.Column:
@@ -189,6 +191,17 @@ def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     return cold.unionByName(hot).distinct()
 
 
+def _least_of_components(prints: DataFrame, least: F.Column) -> DataFrame:
+    """fp, root, least: for each fingerprint its component's root and the aggregate `least` over the component."""
+    nodes = prints.groupBy("fp").agg(least.alias("own"))
+    found = components(links(nodes.select("fp")), "a", "b")
+    # Copies are one node by now; members of a component meet at its root in an aggregation that combines first.
+    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("own").alias("least"))
+    inner = rooted.where("root <> fp").select("fp", "root").join(named, "root").select("fp", "root", "least")
+    return inner.unionByName(named.select(F.col("root").alias("fp"), "root", "least"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: one row per document.
 
@@ -197,11 +210,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id gets the component of its fingerprint; an empty table gives no rows. Other columns are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col), "simhash-fp")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes.select("fp")), "a", "b")
-    # The least doc_id of a component: members of one component meet at its root, pre-aggregated.
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = rooted.where("root <> fp").select("fp", "root").join(named, "root").select("fp", "component_id")
-    roots = named.select(F.col("root").alias("fp"), "component_id")
-    return prints.join(whole.unionByName(roots), "fp", "left").select("doc_id", "fp", "component_id")
+    found = _least_of_components(prints, F.min("doc_id")).select("fp", F.col("least").alias("component_id"))
+    return prints.join(found, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component, columns as they were: the one with the smallest doc_id (null first).
+
+    Rows that share that doc_id are told apart by their text; of rows that agree in both, one stays.
+    """
+    names = docs.columns
+    prints = written(fingerprints(docs, id_col, text_col), "simhash-fp")
+    found = _least_of_components(prints, F.min(F.struct("doc_id", "text_key"))).where("fp = root")
+    kept = found.select(F.col("least.doc_id").alias("_kept_id"), F.col("least.text_key").alias("_kept_key"))
+    rows = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_key": F.xxhash64(F.col(text_col).cast("string"))})
+    chosen = rows.join(kept, rows["_own_id"].eqNullSafe(kept["_kept_id"]) & (rows["_own_key"] == kept["_kept_key"]), "left_semi")
+    return chosen.dropDuplicates(["_own_id", "_own_key"]).select(*[F.col(f"`{c}`") for c in names])
