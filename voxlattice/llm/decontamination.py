@@ -56,7 +56,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k
     count). Items of fewer than k words have no shingle and are never found; nor do null or empty texts hold anything.
     Items with null ids are reported with a null id; items repeated under one id count as one item each.
     """
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("text_key", F.md5(F.encode("text", "UTF-8")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("text_key", F.md5(F.encode("text", "UTF-8")))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     items = items.withColumn("item_key", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     by_key = items.dropDuplicates(["item_key"]).select(F.col("item_key").alias("item_id"), "text")
@@ -65,9 +65,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k
     # explode_outer: for explode, the optimizer adds a filter that computes all hashes once more. Its nulls join nothing.
     probes = probes.select("text_key", "n", F.explode_outer("hashes").alias("hash"))
     found = probes.join(sketch, (probes["hash"] == sketch["hash"]) & (probes["n"] >= sketch["need"])).select("text_key", "item_id").distinct()
-    # Verify: one row a text that has candidates, its words against the items' words.
-    keys = found.select("text_key").distinct()
-    whole = texts.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    # Verify: one row of each text that has candidates, its words against the items' words. The row is chosen by id in an
+    # aggregation that combines before the shuffle, so copies of a text do not meet with their texts in one task.
+    keys = texts.groupBy("text_key").agg(F.min("id").alias("id")).join(found.select("text_key").distinct(), "text_key")
+    chosen = texts.alias("t").join(keys.alias("c"), (F.col("t.text_key") == F.col("c.text_key")) & F.col("t.id").eqNullSafe(F.col("c.id")), "left_semi")
+    whole = chosen.groupBy("text_key").agg(F.first("text").alias("text"))
     whole = whole.select("text_key", words(F.col("text")).alias("w")).select("text_key", shingles(F.col("w"), k).alias("own"))
     asked = by_key.select("item_id", words(F.col("text")).alias("w")).select("item_id", shingles(F.col("w"), k).alias("sought"))
     both = found.join(asked, "item_id").join(whole, "text_key")
