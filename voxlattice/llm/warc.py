@@ -202,7 +202,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     total, missing = rows.agg(F.sum(F.octet_length("html")), F.count_if(F.col("page_id").isNull())).first()
     if missing:
         raise ValueError(f"{missing} pages have no page_id")
-    n = max(math.ceil((total or 0) / archive_bytes), spark.sparkContext.defaultParallelism)
+    # With fewer than the session's shuffle partitions, Spark would shuffle the payloads again for the join.
+    n = max(math.ceil((total or 0) / archive_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Both sides of the join on page_id are dealt out alike before it, so the payloads are shuffled once.
     refers = plan_revisits(rows, least_bytes).repartition(n, "page_id")
     dealt = rows.repartition(n, "page_id").join(refers, "page_id", "left").sortWithinPartitions("page_id", "url", "html").withColumn("part", F.spark_partition_id())
