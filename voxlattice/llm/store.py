@@ -8,6 +8,7 @@ work as file:// ones do; a file appears under its name only when it is whole, so
 from __future__ import annotations
 
 import atexit
+import gc
 import posixpath
 import re
 import shutil
@@ -45,6 +46,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    # Shuffle files of the plan just written are of no more use; Spark drops them once the driver has collected garbage.
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
