@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 SHINGLE = 5
 THRESHOLD = 0.8
 
@@ -82,12 +84,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_shared, containment: a row for each document and item that it holds."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.encode(F.col(text_col).cast("string"), "UTF-8")).alias("text_key"))
-    return rows.join(leaks(docs, benchmark, threshold, k, id_col, text_col), "text_key").drop("text_key")
+    # Written first: a join of two plain shuffles is one whose hot keys (many copies of a leaking text) Spark can split.
+    found = written(leaks(docs, benchmark, threshold, k, id_col, text_col), "leaks")
+    return rows.join(found, "text_key").drop("text_key")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text holds an item, columns as they were. Null texts stay."""
-    bad = leaks(docs, benchmark, threshold, k, id_col, text_col).select(F.col("text_key").alias("_leak_key")).distinct()
+    bad = written(leaks(docs, benchmark, threshold, k, id_col, text_col).select(F.col("text_key").alias("_leak_key")).distinct(), "leaks")
     key = F.md5(F.encode(F.col(text_col).cast("string"), "UTF-8"))
     return docs.join(bad, key == F.col("_leak_key"), "left_anti")
 
