@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.elementwise import or_nan
+
 Model = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 Selector = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -159,7 +161,8 @@ def windows_decoding(features: DataFrame, members: DataFrame, targets: DataFrame
         )
 
     schema = "window_id long, sample_id long, target_id int, perm_id int, y_pred double, n_features int, n_selected int"
-    found = per_sample.groupBy("window_id").applyInPandas(run, schema)
+    # pandas hands NaN over as NULL
+    found = per_sample.groupBy("window_id").applyInPandas(run, schema).withColumn("y_pred", or_nan(F.col("y_pred")))
     empty = members.select("window_id").distinct().join(rows.select("window_id").distinct(), "window_id", "left_anti")
     perms = F.explode(F.sequence(F.lit(0).cast("int"), F.lit(max(1, permutations) - 1).cast("int")))
     blank = empty.join(F.broadcast(labels.select("sample_id", "target_id")) if small else labels.select("sample_id", "target_id")).select("window_id", "sample_id", F.col("target_id").cast("int"), perms.alias("perm_id"), F.lit(float("nan")).alias("y_pred"), F.lit(0).alias("n_features"), F.lit(0).alias("n_selected"))

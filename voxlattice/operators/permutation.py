@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.elementwise import finite_or_null
+from ..functions.elementwise import finite_or_null, or_nan
 from ..functions.normal import critical_value
 from .threshold import cluster_sizes, tfce
 
@@ -160,7 +160,7 @@ def fwer(voxels: DataFrame, n_perm: int = 10_000, statistic: str = "max_t", tail
     def enhance(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[[*by, "t"]].assign(s=enhanced(np.nan_to_num(pdf["t"].to_numpy()), pdf[by].to_numpy(np.int64)))
 
-    found = rows.mapInPandas(observed, f"{keys}, t double")
+    found = rows.mapInPandas(observed, f"{keys}, t double").withColumn("t", or_nan(F.col("t")))
     if statistic == "max_t":
         found = found.withColumn("s", F.abs("t") if both else F.col("t"))
         null = rows.mapInPandas(maxima, "perm_id long, most double").groupBy("perm_id").agg(F.max("most").alias("most"))
