@@ -168,31 +168,29 @@ def test_passages(spark):
     assert len(nulls) == 3
 
 
-def test_leaders_over_batches():
-    """A key's run that goes over many batches gives the same links as in one batch."""
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_verification_does_not_depend_on_batches(size):
     rng = np.random.default_rng(2)
-    base = rng.integers(1, 1 << 16, (3, substring_dedup._WIDE)).astype(np.uint16) | 1
-    rows = sorted((int(k), int(t), 0, base[int(t) % 3].tobytes()) for k in range(4) for t in rng.permutation(40)[:20])
-    cols = ["key", "tkey", "first", "context"]
-
-    def batches(n):
-        for a in range(0, len(rows), n):
-            yield pa.RecordBatch.from_pylist([dict(zip(cols, r)) for r in rows[a : a + n]], pa.schema([("key", pa.int64()), ("tkey", pa.int64()), ("first", pa.int32()), ("context", pa.binary())]))
-
-    parent = {}
-
-    def groups(n):
-        parent = {}
-        root = lambda x: x if parent.setdefault(x, x) == x else root(parent[x])
-        for b in substring_dedup._leaders(batches(n)):
-            for r in b.to_pylist():
-                parent[root(r["tkey"])] = root(r["other"])
-        out = collections.defaultdict(set)
-        for x in list(parent):
-            out[root(x)].add(x)
-        return sorted(map(sorted, out.values()))
-
-    assert groups(1000) == groups(7) == groups(1) and len(groups(1000)) == 3
+    wide = substring_dedup._WIDE
+    base = rng.integers(1, 1 << 32, (3, wide)).astype(np.uint32) | 1
+    rows = []
+    for k in range(5):
+        for t in range(20):
+            c = base[t % 3].copy() if t < 12 else rng.integers(1, 1 << 32, wide).astype(np.uint32) | 1
+            if t < 12:
+                c[rng.integers(0, wide, 2)] = rng.integers(1, 1 << 32, 2)
+            rows.append((k, t, 10 * t, c.tobytes()))
+    schema = pa.schema([("key", pa.int64()), ("tkey", pa.int64()), ("first", pa.int32()), ("context", pa.binary())])
+    batches = (pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[a : a + size]], schema) for a in range(0, len(rows), size))
+    got = [r for b in substring_dedup._verified(batches) for r in b.to_pylist()]
+    assert len(got) == 60 and {r["tkey"] for r in got} == set(range(12)) and {r["other"] for r in got} == {0}
+    assert all(r["stop"] - r["start"] >= substring_dedup.LEAST_WORDS and r["similarity"] >= 0.8 for r in got)
+
+
+def test_held_by_others():
+    codes = np.array([[1, 2, 0], [2, 3, 9], [3, 1, 1], [1, 2, 3]], np.uint32)
+    got = substring_dedup.held_by_others(np.array([0, 0, 0, 1]), np.array([5, 6, 6, 7]), codes)
+    assert got.tolist() == [[True, True, False], [True, False, False], [False, True, True], [False, False, False]]
 
 
 # --- 3 and 5 tokens ---------------------------------------------------------------------------------------------------
