@@ -270,3 +270,24 @@ def test_streaming_moments(spark, study, tmp_path):
     a = spark.table("live_moments").orderBy("i", "j", "k").toPandas()
     b = moments(v).orderBy("i", "j", "k").toPandas()
     assert a["mean"].to_numpy() == pytest.approx(b["mean"].to_numpy()) and a["std"].to_numpy() == pytest.approx(b["std"].to_numpy())
+
+
+def test_warp_to_template(spark, tmp_path):
+    from voxlattice.plans.warping import warp_to_template
+
+    data = np.random.default_rng(3).normal(size=(4, 4, 4))
+    (tmp_path / "in.nii").write_bytes(nifti.volume_bytes(data, np.eye(4), "f8"))
+    anat = tmp_path / "sub-1" / "anat"
+    anat.mkdir(parents=True)
+    (anat / "sub-1_space-MNI152NLin2009cAsym_res-2_T1w.nii").write_bytes(nifti.volume_bytes(np.ones((4, 4, 4)), np.eye(4), "f4"))
+    move = np.eye(4)
+    move[0, 3] = 1.0
+    rows = [("affine", move.ravel().tolist(), None, None, None, None, None, None)] + [("field", None, *map(int, c), 0.0, 1.0, 0.0) for c in np.ndindex(4, 4, 4)]
+    spark.createDataFrame(rows, "kind string, affine array<double>, i int, j int, k int, dx double, dy double, dz double").write.parquet(str(anat / "sub-1_from-T1w_to-MNI152NLin2009cAsym_mode-image_xfm.parquet"))
+    out = warp_to_template(spark, str(tmp_path / "in.nii"), str(tmp_path / "sub-1"), str(tmp_path / "w" / "out.nii.gz"))
+    _, got = nifti.read_volume(out)
+    assert got[:-1, :-1] == pytest.approx(data[1:, 1:], abs=1e-6) and (tmp_path / "w" / "ref_MNI_1_1_1mm.nii.gz").exists()
+    (anat / "sub-1_from-T1w_to-MNI152NLin2009cAsym_mode-image_xfm.parquet").rename(tmp_path / "gone")
+    (anat / "sub-1_from-T1w_to-MNI152NLin2009cAsym_mode-image_xfm.h5").touch()
+    with pytest.raises(NotImplementedError):
+        warp_to_template(spark, str(tmp_path / "in.nii"), str(tmp_path / "sub-1"), str(tmp_path / "w" / "out2.nii.gz"))

@@ -97,7 +97,7 @@ def group_analysis(spark: SparkSession, maps, out_dir: str | None = None, settin
     """One-sample or covariate model of the given volumes; writes maps and returns the manifest.
 
     maps: a folder, a CSV or TSV table, a DataFrame, or paths. The manifest has a row a regressor (the intercept among
-    them): regressor, group_dir, t_unc_path, thresholded_two_sided_path, thresholded_gt_path, thresholded_lt_path,
+    them): regressor, group_dir, template_image_path, t_unc_path, thresholded_two_sided_path, thresholded_gt_path, thresholded_lt_path,
     used_map_paths. With covariates each regressor has a folder of its own. Outputs that exist for the same arguments
     are used again unless overwrite is set.
     """
@@ -123,6 +123,14 @@ def group_analysis(spark: SparkSession, maps, out_dir: str | None = None, settin
         warnings.warn("volumes have one shape but different affines; they are compared voxel by voxel", stacklevel=2)
     grid = Grid(tuple(first.shape), tuple(map(tuple, first.affine.tolist())))
 
+    shown_on = None
+    if "template" in settings.templates:
+        # The background for plots, kept with the results.
+        shown_on = f"{group_dir}/mni152_template_T1w.nii.gz"
+        if not os.path.exists(shown_on):
+            h = read_header(settings.templates["template"])
+            write_volumes(read_volumes(spark, settings.templates["template"]).withColumn("img_id", F.lit(image_id(shown_on))), group_dir, h.shape, h.affine)
+
     design = with_intercept(with_image_ids(design), covariates)
     regressors = ["intercept", *covariates]
     voxels = read_volumes(spark, paths)
@@ -152,10 +160,10 @@ def group_analysis(spark: SparkSession, maps, out_dir: str | None = None, settin
                 save(mask.select("i", "j", "k", F.col("in_mask").cast("double").alias("value")), "analysis_mask_validity_std", f"{where}/masks")
             for tail in TAILS:
                 save(_tail(t, values, design, r, tail, settings, where, save), names[tail])
-        out.append((r, where, target["unc"], target["two_sided"], target["gt"], target["lt"], paths))
+        out.append((r, where, shown_on, target["unc"], target["two_sided"], target["gt"], target["lt"], paths))
     for df in (fitted, values, inside):
         df.unpersist()
-    return spark.createDataFrame(out, "regressor string, group_dir string, t_unc_path string, thresholded_two_sided_path string, thresholded_gt_path string, thresholded_lt_path string, used_map_paths array<string>")
+    return spark.createDataFrame(out, "regressor string, group_dir string, template_image_path string, t_unc_path string, thresholded_two_sided_path string, thresholded_gt_path string, thresholded_lt_path string, used_map_paths array<string>")
 
 
 def _tail(t: DataFrame, values: DataFrame, design: DataFrame, regressor: str, tail: str, s: Settings, where: str, save) -> DataFrame:
