@@ -84,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.SQL,
+        "op7_sharding": sharding.sql(),
         "op9_mixing": mixing.sql(),
         "op10_decontamination": decontamination.SQL,
     }

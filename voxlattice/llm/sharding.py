@@ -83,3 +83,20 @@ def write_shards(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc
     """Whole rows into path/shard=K, each in slot order. Ids must be unique to join a row to its place."""
     placed = docs.join(plan.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def sql(shards: int = SHARDS, seed: str = SEED) -> str:
+    """The rows of shard_documents in DuckDB SQL; CRC-32 goes by a table of 256 entries made from its polynomial."""
+    h52 = lambda parts: f"('0x' || substr(md5(concat_ws(':', '{seed}', {parts})), 1, 13))::BIGINT"
+    return f"""
+WITH tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+b AS (SELECT doc_id, source, encode(coalesce(text, '')) AS raw FROM documents),
+y AS (SELECT doc_id, source, octet_length(raw) + 1 AS size, list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM b),
+c AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) AS crc FROM y, tab),
+h AS (SELECT *, coalesce('=' || source, 'null') AS s, {h52("coalesce(doc_id::VARCHAR, '')")} AS h FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id, crc, size) - 1 AS rank, count(*) OVER (PARTITION BY s) AS n, ({h52("'phase', s")} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS phase FROM h),
+f AS (SELECT *, (rank + phase) / n::DOUBLE AS fraction FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, s, h, doc_id, crc, size) - 1 AS pos, count(*) OVER () AS total FROM f)
+SELECT doc_id, source, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (pos * {shards} // total)::INT AS shard,
+  (pos - ((pos * {shards} // total) * total + {shards - 1}) // {shards})::BIGINT AS slot, NULL::INT AS grown_shard, fraction FROM p
+"""

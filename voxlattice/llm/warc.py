@@ -276,3 +276,15 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     path = scratch(spark, "warc")
     found = read_archives(spark, write_archives(pages, path, least_bytes))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"), "target_uri")
+
+
+#: The rows of op1_warc in DuckDB SQL; base32 takes four letters from each 20 bits of the SHA-1.
+SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, octet_length(encode(html)) AS n, sha1(html) AS x, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, url AS target_uri
+FROM d
+"""
