@@ -13,6 +13,7 @@ import posixpath
 import re
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyarrow import fs
@@ -46,12 +47,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    # Shuffle files of the plan just written are of no more use; Spark drops them once the driver has collected garbage.
+    # Shuffle files of plans that are done with are of no more use; Spark drops them when the driver collects garbage.
     gc.collect()
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done with: it does so when the driver collects their garbage.
+
+    The last plan is let go when its end event has been handled, a moment after the job; hence the second time.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", uri)
