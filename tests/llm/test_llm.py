@@ -168,6 +168,17 @@ def test_passages(spark):
     assert len(nulls) == 3
 
 
+def test_copies_do_not_fill_groups(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP", 8)
+    rng = random.Random(3)
+    texts = []
+    for _ in range(6):
+        shared = prose(rng, 60)
+        texts += [f"{prose(rng, 40)} {shared} {prose(rng, 40)}"] * 40 + [f"{prose(rng, 70)} {shared} {prose(rng, 30)}"]
+    got = {r["doc_id"]: r for r in substring_dedup.passages(docs(spark, texts).repartition(4)).collect()}
+    assert all(n in got and got[n]["start_word"] <= 70 and got[n]["end_word"] >= 130 for n in range(40, len(texts), 41))
+
+
 @pytest.mark.parametrize("size", [1, 7, 1000])
 def test_verification_does_not_depend_on_batches(size):
     rng = np.random.default_rng(2)
