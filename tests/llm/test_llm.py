@@ -179,6 +179,23 @@ def test_copies_do_not_fill_groups(spark, monkeypatch):
     assert all(n in got and got[n]["start_word"] <= 70 and got[n]["end_word"] >= 130 for n in range(40, len(texts), 41))
 
 
+def test_pairs_meet_across_groups(spark, monkeypatch):
+    """Around a footer that all texts have, pairs share 20 words more: every text has one partner, found in any group."""
+    monkeypatch.setattr(substring_dedup, "GROUP", 8)
+    rng = random.Random(4)
+    footer, texts = prose(rng, 40), []
+    for _ in range(60):
+        more = prose(rng, 20)
+        texts += [f"{prose(rng, 60)} {footer} {more}", f"{prose(rng, 80)} {footer} {more}"]
+    texts += [f"{prose(rng, 60)} {footer} {prose(rng, 20)}" for _ in range(20)]
+    got = {r["doc_id"]: r for r in substring_dedup.passages(docs(spark, texts)).collect()}
+    assert set(got) == set(range(120))
+    assert all(got[n]["start_word"] <= 60 + 20 * (n % 2) and got[n]["n_words"] >= 60 for n in got)
+    monkeypatch.setattr(substring_dedup, "GROUP", 1 << 20)
+    one = substring_dedup.passages(docs(spark, texts)).collect()
+    assert sorted(one) == sorted(got.values())
+
+
 @pytest.mark.parametrize("size", [1, 7, 1000])
 def test_verification_does_not_depend_on_batches(size):
     rng = np.random.default_rng(2)
