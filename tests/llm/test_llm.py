@@ -196,6 +196,35 @@ def test_pairs_meet_across_groups(spark, monkeypatch):
     assert sorted(one) == sorted(got.values())
 
 
+def test_runs_of_all_lengths_against_brute_force():
+    rng = np.random.default_rng(6)
+    held = rng.random((300, substring_dedup._WIDE)) < rng.choice([0.8, 0.88, 0.92], (300, 1))
+    held[:100, 70:] = False
+    for row, start, stop, similarity in zip(held, *substring_dedup.repeated_runs(held)):
+        sums = np.concatenate([[0], np.cumsum(row)])
+        good = [(i, j) for i in range(len(row)) for j in range(i + substring_dedup.LEAST, len(row) + 1) if 9 * (sums[j] - sums[i]) >= 8 * (j - i)]
+        assert (start, stop) == ((min(good)[0], max(j for _, j in good)) if good else (0, 0))
+        assert similarity >= 0.8 if good else similarity == 0
+
+
+def test_edits_in_the_middle_of_longer_passages(spark):
+    rng = random.Random(5)
+    texts, similar = [], []
+    for _ in range(60):
+        n, edits = rng.randrange(58, 100), rng.choice([2, 3, 8])
+        a = prose(rng, n, 10**6).split()
+        b = a[: n // 2 - edits // 2] + prose(rng, edits, 10**6).split() + a[n // 2 - edits // 2 + edits :]
+        x, y = ({tuple(t[i : i + 5]) for i in range(n - 4)} for t in (a, b))
+        j = len(x & y) / len(x | y)
+        # not near the limit, and with no part that is similar by itself
+        if j >= 0.81 or (j < 0.75 and n < 80):
+            texts += [" ".join(prose(rng, 60, 10**6).split() + t + prose(rng, 60, 10**6).split()) for t in (a, b)]
+            similar += [j >= 0.81] * 2
+    got = {r["doc_id"] for r in substring_dedup.passages(docs(spark, texts)).collect()}
+    assert 20 < sum(similar) < len(similar)
+    assert got == {n for n, s in enumerate(similar) if s}
+
+
 @pytest.mark.parametrize("size", [1, 7, 1000])
 def test_verification_does_not_depend_on_batches(size):
     rng = np.random.default_rng(2)
