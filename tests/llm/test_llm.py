@@ -196,6 +196,16 @@ def test_pairs_meet_across_groups(spark, monkeypatch):
     assert sorted(one) == sorted(got.values())
 
 
+def test_minima_of_very_long_texts():
+    rng = np.random.default_rng(7)
+    values = rng.integers(0, 1 << 63, (1 << 24) + 1000).astype(np.uint64)
+    got = substring_dedup.sliding_argmin(values, 46)
+    assert len(got) == len(values) - 45
+    for at in (0, (1 << 24) - 100, len(values) - 300):
+        seen = np.lib.stride_tricks.sliding_window_view(values[at : at + 300], 46)
+        assert (got[at : at + len(seen)] == at + np.arange(len(seen)) + (seen >> np.uint64(24)).argmin(1)).all()
+
+
 def test_runs_of_all_lengths_against_brute_force():
     rng = np.random.default_rng(6)
     held = rng.random((300, substring_dedup._WIDE)) < rng.choice([0.8, 0.88, 0.92], (300, 1))
