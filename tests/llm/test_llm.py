@@ -196,6 +196,18 @@ def test_pairs_meet_across_groups(spark, monkeypatch):
     assert sorted(one) == sorted(got.values())
 
 
+def test_pairs_at_the_limit_are_rarely_missed():
+    assert (1 - substring_dedup.SIMILARITY) ** substring_dedup.FUNCTIONS < 0.002
+    rng = np.random.default_rng(8)
+    missed = 0
+    for _ in range(2000):
+        # 72 of 90 shingles in common
+        common, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (72, 9, 9))
+        values = [[substring_dedup._values(np.concatenate([common, x]), f).min() for x in (a, b)] for f in range(substring_dedup.FUNCTIONS)]
+        missed += all(x != y for x, y in values)
+    assert missed <= 9
+
+
 def test_minima_of_very_long_texts():
     rng = np.random.default_rng(7)
     values = rng.integers(0, 1 << 63, (1 << 24) + 1000).astype(np.uint64)
