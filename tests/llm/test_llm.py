@@ -537,6 +537,19 @@ def test_raking_holds_margins(spark):
         mixing.calibrated(df, {c: {str(n): 1.0 for n in range(300)} for c in ("source", "lang")}, "w")
 
 
+def test_margins_of_the_sample(spark):
+    """A rare source is kept whole and ends below its target; the share missed is that of the uncovered weight at most."""
+    target = {"source": {"a": 24.0, "b": 1.0}, "lang": {"x": 0.7, "y": 0.3}}
+    rows = [(n, "b" if n in (7, 8) else "a", "xyy"[n % 3], 10) for n in range(2000)]
+    got = mixing.calibrated(spark.createDataFrame(rows, "doc_id long, source string, lang string, w long"), target, "w").toPandas()
+    got["e"] = got["w"] * got["_probability"]
+    share = got.groupby("source")["e"].sum() / got["e"].sum()
+    assert (got.loc[got.source == "b", "_probability"] == 1).all() and share["b"] < 0.04
+    assert abs(share["b"] - 0.04) <= (1 - mixing.COVERAGE) / mixing.COVERAGE
+    lang = got.groupby("lang")["e"].sum() / got["e"].sum()
+    assert abs(lang["x"] - 0.7) <= (1 - mixing.COVERAGE) / mixing.COVERAGE
+
+
 def test_mixing_edge_cases(spark):
     d = extra(docs(spark, odd_texts())).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.lit("src1"))).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.lit("en")))
     got = {r["doc_id"]: r for r in mixing.mix(d).collect()}
