@@ -324,21 +324,61 @@ def test_token_shards(spark, tmp_path):
     for n, t in enumerate(texts):
         ids = enc.bpe.encode_ordinary(t or "") + [enc.end]
         for c in range(0, len(ids), 64):
-            expected[(-1 if n == len(texts) - 1 else n), c // 64, tuple(ids[c : c + 64])] += 1
+            expected[(None if n == len(texts) - 1 else n), c // 64, tuple(ids[c : c + 64])] += 1
     for source in (d, spark.read.parquet(str(tmp_path / "docs"))):
         layout, manifest = token_output.write_shards(source, f"file://{tmp_path}/{random.random()}", RANKS, 64, 10_000)
         got = list(token_output.read_slots(layout))
         assert [s for s, _, _ in got] == list(range(layout.sequences)) and layout.shards > 2
-        assert collections.Counter((int(h["doc_id"]), int(h["chunk"]), tuple(x.tolist())) for _, h, x in got) == expected
+        assert token_output.Layout.read(layout.path) == layout
+        assert collections.Counter((None if h["n"] >= token_output.NO_ID else int(h["doc_id"]), int(h["chunk"]), tuple(x.tolist())) for _, h, x in got) == expected
         resumed = list(token_output.read_slots(layout, layout.per_shard - 2, 5))
         assert [s for s, _, _ in resumed] == list(range(layout.per_shard - 2, layout.per_shard + 3))
         assert all(np.array_equal(x, got[s][2]) for s, _, x in resumed)
         back = token_output.read_back(spark, layout, manifest).toPandas().sort_values("slot")
         assert back["ids_crc32"].tolist() == [zlib.crc32(x.astype("<u2").tobytes()) for _, _, x in got]
         assert back["byte_offset"].tolist() == [s % layout.per_shard * token_output.stride(64) for s, _, _ in got]
+        known = back[~back["doc_id"].isna()]
+        assert collections.Counter(zip(known["doc_id"].astype(int), known["chunk"], known["n_tokens"])) == collections.Counter((i, c, len(x)) for i, c, x in expected.elements() if i is not None)
     assert token_output.materialise(docs(spark, []), ranks=RANKS).count() == 0
 
 
+@needs_ranks
+def test_token_shards_do_not_depend_on_the_scan(spark, tmp_path, monkeypatch):
+    """The second pass sees other splits than the first, as after a change of cores or executors."""
+    rng = random.Random(12)
+    d = docs(spark, [prose(rng, rng.randrange(1, 400)) for _ in range(600)], [n % 300 for n in range(600)])
+    d.repartition(2).write.option("parquet.block.size", 40_000).option("parquet.page.size", 4_000).parquet(str(tmp_path / "docs"))
+    number, before = token_output.number_rows, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found, parts = [], []
+    for first, second in ((None, None), ("20k", "400k"), ("400k", "20k")):
+
+        def numbered(counts, folder, block, second=second):
+            out = number(counts, folder, block)
+            if second:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", second)
+            return out
+
+        monkeypatch.setattr(token_output, "number_rows", numbered)
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", first or before)
+            source = spark.read.parquet(str(tmp_path / "docs"))
+            parts.append(source.rdd.getNumPartitions())
+            layout, manifest = token_output.write_shards(source, f"file://{tmp_path}/{random.random()}", RANKS, 64, 10_000, block=64)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert manifest.agg(F.sum("n_sequences")).first()[0] == layout.sequences
+        found.append([(int(h["doc_id"]), int(h["chunk"]), x.tolist()) for _, h, x in token_output.read_slots(layout)])
+    assert len(set(parts)) > 1
+    assert found[0] == found[1] == found[2] and {i for i, _, _ in found[0]} == set(range(300))
+
+
+@needs_ranks
+def test_shards_that_lack_sequences_are_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_output, "number_rows", lambda *a, number=token_output.number_rows: number(*a) + 1)
+    with pytest.raises(Exception, match="shard|slots"):
+        token_output.write_shards(docs(spark, ["a b c"] * 30), f"file://{tmp_path}/x", RANKS, 64, 1000)
+
+
 # --- 4 SimHash --------------------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         # small star: u and its neighbours below go to the least of them
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, edges = edges, written(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -8,30 +8,31 @@ work as file:// ones do; a file appears under its name only when it is whole, so
 from __future__ import annotations
 
 import atexit
-import gc
 import posixpath
 import re
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes a query's shuffle files when the query ends if this is set.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_by_hand = sc._jsc.sc().getCheckpointDir()
-        if set_by_hand.isDefined():
-            return set_by_hand.get()
-        own = tempfile.mkdtemp(prefix="voxlattice-")
-        atexit.register(shutil.rmtree, own, True)
-        sc.setCheckpointDir(f"file://{own}")
-        return sc._jsc.sc().getCheckpointDir().get()
-    return found
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found:
+        return found
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="voxlattice-")
+    atexit.register(shutil.rmtree, own, True)
+    sc.setCheckpointDir(f"file://{own}")
+    return sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -43,25 +44,50 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The DataFrame cut from its lineage: written once as Parquet in the shared folder and read from there."""
+    """The DataFrame cut from its lineage: written once as Parquet in the shared folder and read from there.
+
+    Its shuffle files go when it is written. discard() removes the table when nothing reads it any more.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    # Shuffle files of plans that are done with are of no more use; Spark drops them when the driver collects garbage.
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._voxlattice_path = path
+    return out
+
+
+def discard(*tables: DataFrame | str) -> None:
+    """Remove tables that written() made, or folders of the shared folder, which no later step reads."""
+    for t in tables:
+        filesystem, path = open_fs(t if isinstance(t, str) else t._voxlattice_path)
+        filesystem.delete_dir(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are done with: it does so when the driver collects their garbage.
+def located(df: DataFrame, *cols: str) -> DataFrame:
+    """cols with _file and _row: where each row physically stands, the same however a scan is split.
 
-    The last plan is let go when its end event has been handled, a moment after the job; hence the second time.
+    Rows that do not come straight from files that tell this (Parquet) are written to the shared folder first.
     """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.7)
+    places = lambda x: x.select(*[x[f"`{c}`"] for c in cols], x.metadataColumn("_metadata")["file_path"].alias("_file"), x.metadataColumn("_metadata")["row_index"].alias("_row"))
+    if _plain_scan(df):
+        try:
+            return places(df)
+        except AnalysisException:
+            pass
+    return places(written(df.select(*[df[f"`{c}`"] for c in cols]), "rows"))
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether each row of df is one row of a file: a relation under nothing but projections."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() == "Project":
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:

@@ -5,40 +5,52 @@ keyed Feistel network with cycle-walking maps the N numbers one to one onto the
 seeded shuffle that needs no random sort and no table. Slot s lies in shard s div R at byte (s mod R) * stride, where
 the stride is fixed: a reader that knows how many sequences it has consumed seeks there and goes on.
 
-Dense numbers without moving text: a first pass counts ids and adds up sequences by input split (file and block start),
-whose running total is the number at which the split begins; the second pass encodes again and numbers on from there.
-Encoding twice costs less than keeping the ids. Ids are shuffled once, straight to the shard that they belong to, and
-every shard is one task's file, put in place whole.
+Dense numbers without moving text: a row is known by its file and its index in that file, which no splitting of the
+scan, lost executor or second try changes. A first pass counts each row's sequences; their running totals by (file, row)
+lie in the shared folder as arrays of BLOCK rows. The second pass encodes again wherever it runs and looks its rows up
+there. Encoding twice is the price of disk: ids kept between the passes would be as large as the input once more.
+Ids are shuffled once, straight to the shard that they belong to; a shard is one task's file, put in place whole, and
+the shards are counted against the layout before they are handed on.
 
 Record layout, little-endian: doc_id int64, chunk uint32 (number of the sequence in its document), n uint32, then
-`length` uint16 ids of which the first n count.
+`length` ids of two bytes (four for vocabularies over 65,535) of which the first n count. The top bit of n marks a
+document without an id, whose doc_id field is zero.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import WholeFile, open_fs, scratch, written
+from .store import WholeFile, discard, located, open_fs, scratch, written
 from .textkernel import mix, slices
-from .tokenizer import RANKS, Vocabulary, encoder
+from .tokenizer import RANKS, Vocabulary, encoder, id_type
 
 LENGTH = 512
 SHARD_BYTES = 32 << 20
 KEY = 20240229
 ROUNDS = 6
 SLICE = 2 << 20
+#: Rows of a file whose numbers lie in one array.
+BLOCK = 1 << 18
+#: Shuffle partitions at most; beyond, a task makes several shards in a row.
+MOST_TASKS = 20_000
 HEAD = np.dtype([("doc_id", "<i8"), ("chunk", "<u4"), ("n", "<u4")])
+NO_ID = 1 << 31
+MANIFEST = "shard int, first_slot long, n_sequences long, n_tokens long, crc32 long"
 
 
-def stride(length: int) -> int:
-    return HEAD.itemsize + 2 * length
+def stride(length: int, id_bytes: int = 2) -> int:
+    return HEAD.itemsize + id_bytes * length
 
 
 def permuted(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -61,36 +73,105 @@ def permuted(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Layout:
-    """What a reader needs to know: path, length of a sequence, sequences in all and in a full shard."""
+    """What a reader needs to know; it stands beside the shards as layout.json too."""
 
     path: str
     length: int
     sequences: int
     per_shard: int
+    id_bytes: int = 2
 
     @property
     def shards(self) -> int:
         return -(-self.sequences // self.per_shard)
 
+    @property
+    def stride(self) -> int:
+        return stride(self.length, self.id_bytes)
+
     def shard_path(self, shard: int) -> str:
         return f"{self.path}/shard-{shard:07d}.bin"
 
+    @classmethod
+    def read(cls, path: str) -> Layout:
+        filesystem, at = open_fs(f"{path}/layout.json")
+        with filesystem.open_input_stream(at) as f:
+            return cls(**json.loads(f.read()) | {"path": path})
+
+
+def _numbers_path(folder: str, file: str, block: int) -> str:
+    return f"{folder}/{hashlib.sha1(file.encode()).hexdigest()}/{block:06d}.bin"
 
-def _of_split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
+def number_rows(counts: DataFrame, folder: str, rows: int = BLOCK) -> int:
+    """Rows (_file, _row, n) -> the sum of n; into the folder go arrays: for each row the sum of n before it, -1 where no row is.
 
-def write_shards(docs: DataFrame, path: str, ranks: str = RANKS, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> tuple[Layout, DataFrame]:
+    The order is that of file and row. An array is for so many rows of a file, and a task holds one; the totals are a row an array.
+    """
+    blocked = counts.withColumn("block", F.expr(f"_row div {rows}"))
+    totals = written(blocked.groupBy("_file", "block").agg(F.sum("n").alias("n")), "token-blocks")
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    bases = totals.select("_file", "block", (F.sum("n").over(Window.orderBy("_file", "block")) - F.col("n")).alias("base"))
+
+    def store(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_row")
+        file, block, base = pdf["_file"].iloc[0], int(pdf["block"].iloc[0]), int(pdf["base"].iloc[0])
+        n = pdf["n"].to_numpy()
+        out = np.full(rows, -1, "<i8")
+        out[pdf["_row"].to_numpy() - block * rows] = base + np.cumsum(n) - n
+        with WholeFile(_numbers_path(folder, file, block)) as f:
+            f.write(out.tobytes())
+        return pd.DataFrame({"n": [int(n.sum())]})
+
+    made = written(blocked.join(bases, ["_file", "block"]).groupBy("_file", "block").applyInPandas(store, "n long"), "token-numbered")
+    if (made.agg(F.sum("n")).first()[0] or 0) != total:
+        raise AssertionError("not every row was numbered")
+    discard(totals, made)
+    return total
+
+
+class _Numbers:
+    """Looks rows up in the arrays of number_rows; the last few arrays stay in memory."""
+
+    def __init__(self, folder: str, rows: int) -> None:
+        self.folder, self.rows, self.held = folder, rows, {}
+
+    def _array(self, file: str, block: int) -> np.ndarray:
+        if (file, block) not in self.held:
+            while len(self.held) >= 4:
+                self.held.pop(next(iter(self.held)))
+            filesystem, path = open_fs(_numbers_path(self.folder, file, block))
+            with filesystem.open_input_stream(path, compression=None) as f:
+                self.held[file, block] = np.frombuffer(f.read(), "<i8")
+        return self.held[file, block]
+
+    def of(self, files: pa.Array, rows: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows), np.int64)
+        codes = files.dictionary_encode()
+        code = codes.indices.to_numpy()
+        block = rows // self.rows
+        edge = np.append(np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1]))), len(rows))
+        for a, z in zip(edge.tolist(), edge[1:].tolist()):
+            out[a:z] = self._array(codes.dictionary[int(code[a])].as_py(), int(block[a]))[rows[a:z] - block[a] * self.rows]
+        if (out < 0).any():
+            raise AssertionError("a row of the second pass was not there in the first")
+        return out
+
+
+def write_shards(docs: DataFrame, path: str, ranks: str = RANKS, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[Layout, DataFrame]:
     """Write the shards; returns the layout and a table shard, first_slot, n_sequences, n_tokens, crc32.
 
     Every row of docs is written. Null and empty texts are one sequence that holds the end mark alone; repeated rows are
-    repeated; a null id is written as -1; other columns are not read. An empty table gives no shard.
+    repeated; a null id is marked in the record; very long texts are cut into as many sequences as they need; other
+    columns are not read, whatever their names. An empty table gives no shard. If the shards do not hold every sequence
+    of the layout, an error is raised.
     """
     spark = docs.sparkSession
-    if "_metadata" in docs.columns or not _is_scan(docs):
-        docs = written(docs.select(id_col, text_col), "token-docs")
-    content = Vocabulary.read(ranks).shared(spark)
-    rows = _of_split(docs, id_col, text_col)
+    vocabulary = Vocabulary.read(ranks)
+    content = vocabulary.shared(spark)
+    id_bytes = id_type(vocabulary.end()).itemsize
+    rows = located(docs, id_col, text_col)
+    rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), "_file", "_row")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(content.value)
@@ -98,105 +179,107 @@ def write_shards(docs: DataFrame, path: str, ranks: str = RANKS, length: int = L
             for i, j in slices(b.column(0), SLICE):
                 part = b.slice(i, j - i)
                 _, n = enc.encode(part.column(0), only_counts=True)
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(n // length + 1)], ["file", "block", "n"])
-
-    splits = rows.select("text", "file", "block").mapInArrow(count, "file string, block long, n long").groupBy("file", "block").agg(F.sum("n").alias("n"))
-    # One row an input split: as many as the scan has tasks or fewer.
-    splits = written(splits.withColumn("base", F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")), "token-splits")
-    total = splits.agg(F.sum("n")).first()[0] or 0
-    width = stride(length)
-    layout = Layout(path, length, total, max(1, shard_bytes // width))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(n // length + 1)], ["_file", "_row", "n"])
+
+    counts = written(rows.select("text", "_file", "_row").mapInArrow(count, "_file string, _row long, n long"), "token-counts")
+    numbers = scratch(spark, "token-numbers")
+    total = number_rows(counts, numbers, block)
+    discard(counts)
+    layout = Layout(path, length, total, max(1, shard_bytes // stride(length, id_bytes)), id_bytes)
     if not total:
-        return layout, spark.createDataFrame([], "shard int, first_slot long, n_sequences long, n_tokens long, crc32 long")
-    per_shard = layout.per_shard
+        return layout, spark.createDataFrame([], MANIFEST)
+    per_shard, width = layout.per_shard, layout.stride
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(content.value)
-        at: dict[tuple, int] = {}
+        enc, known = encoder(content.value), _Numbers(numbers, block)
         for b in batches:
             for i, j in slices(b.column(1), SLICE):
                 part = b.slice(i, j - i)
                 ids, n = enc.encode(part.column(1))
-                yield sequences(part, ids, n, enc.end, at)
+                yield sequences(part.column(0), known.of(part.column(2), part.column(3).to_numpy()), ids, n, enc.end)
 
-    def sequences(part: pa.RecordBatch, ids: np.ndarray, n: np.ndarray, end: int, at: dict) -> pa.RecordBatch:
+    def sequences(doc_id: pa.Array, number: np.ndarray, ids: np.ndarray, n: np.ndarray, end: int) -> pa.RecordBatch:
         # the end mark after each document's ids
         stop = np.cumsum(n + 1)
-        whole = np.full(stop[-1], end, np.uint16)
+        whole = np.full(stop[-1], end, ids.dtype)
         body = np.ones(len(whole), bool)
         body[stop - 1] = False
         whole[body] = ids
         many = n // length + 1
-        # rows of one split stand together and in order
-        number = np.empty(len(n), np.int64)
-        keys = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist()))
-        base = part.column(4).to_numpy()
-        edge = [0, *(r for r in range(1, len(keys)) if keys[r] != keys[r - 1]), len(keys)]
-        for a, z in zip(edge, edge[1:]):
-            begin = at.get(keys[a], int(base[a]))
-            run = np.cumsum(many[a:z])
-            number[a:z] = begin + run - many[a:z]
-            at[keys[a]] = begin + int(run[-1])
         doc = np.repeat(np.arange(len(n)), many)
         chunk = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
         begin = np.repeat(stop - n - 1, many) + chunk * length
         size = np.minimum(length, np.repeat(stop, many) - begin)
         slot = permuted(number[doc] + chunk, total, key)
-        raw = whole.astype("<u2").tobytes()
-        ids_col = part.column(0).fill_null(-1).to_numpy()[doc]
-        packed = [zlib.compress(raw[2 * s : 2 * (s + z)], 1) for s, z in zip(begin.tolist(), size.tolist())]
-        arrays = [pa.array(slot), pa.array(ids_col), pa.array(chunk.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(packed, pa.binary())]
+        raw = memoryview(whole.tobytes())
+        packed = [zlib.compress(raw[id_bytes * s : id_bytes * (s + z)], 1) for s, z in zip(begin.tolist(), size.tolist())]
+        arrays = [pa.array(slot), doc_id.take(pa.array(doc)), pa.array(chunk.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(packed, pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["slot", "doc_id", "chunk", "n", "ids"])
 
+    in_a_row = -(-layout.shards // MOST_TASKS)
     dealt = (
-        rows.join(splits.select("file", "block", "base"), ["file", "block"])
-        .select("doc_id", "text", "file", "block", "base")
+        rows.select("doc_id", "text", "_file", "_row")
         .mapInArrow(cut, "slot long, doc_id long, chunk int, n int, ids binary")
-        .repartitionById(layout.shards, F.expr(f"cast(slot div {per_shard} as int)"))
+        .repartitionById(-(-layout.shards // in_a_row), F.expr(f"cast(slot div {per_shard * in_a_row} as int)"))
         .sortWithinPartitions("slot")
     )
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = np.zeros(1, HEAD)
-        shard, first, count, tokens, crc, file = -1, 0, 0, 0, 0, None
+        file = None
         try:
             for b in batches:
-                for slot, doc, chunk, n, packed in zip(*(c.to_pylist() for c in b.columns)):
+                slot, at = b.column(0).to_numpy(), 0
+                records = _records(b, length, width, id_bytes)
+                while at < len(slot):
                     if file is None:
-                        shard, first = slot // per_shard, slot
+                        shard, crc, count, tokens = int(slot[at]) // per_shard, 0, 0, 0
                         file = WholeFile(layout.shard_path(shard))
                         out = file.__enter__()
-                    if slot != first + count or first != shard * per_shard:
-                        raise AssertionError(f"slot {slot} does not follow in shard {shard}")
-                    head[0] = (doc, chunk, n)
-                    data = head.tobytes() + zlib.decompress(packed).ljust(2 * length, b"\0")
+                    full = min(per_shard, total - shard * per_shard)
+                    to = min(len(slot), at + full - count)
+                    if not np.array_equal(slot[at:to], shard * per_shard + count + np.arange(to - at)):
+                        raise AssertionError(f"the slots of shard {shard} do not follow each other")
+                    data = memoryview(records[at:to]).cast("B")
                     out.write(data)
                     crc = zlib.crc32(data, crc)
-                    count, tokens = count + 1, tokens + n
+                    count, tokens, at = count + to - at, tokens + int(b.column(3).slice(at, to - at).to_numpy().sum()), to
+                    if count == full:
+                        file = file.__exit__(None)
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (shard * per_shard, pa.int64()), (count, pa.int64()), (tokens, pa.int64()), (crc, pa.int64()))], ["shard", "first_slot", "n_sequences", "n_tokens", "crc32"])
+            if file is not None:
+                raise AssertionError(f"shard {shard} has {count} sequences of {full}")
         except BaseException as e:
             if file is not None:
                 file.__exit__(type(e))
             raise
-        if file is not None:
-            file.__exit__(None)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (first, pa.int64()), (count, pa.int64()), (tokens, pa.int64()), (crc, pa.int64()))], ["shard", "first_slot", "n_sequences", "n_tokens", "crc32"])
 
-    manifest = written(dealt.mapInArrow(store, "shard int, first_slot long, n_sequences long, n_tokens long, crc32 long"), "token-manifest")
+    manifest = written(dealt.mapInArrow(store, MANIFEST), "token-manifest")
+    found = manifest.agg(F.count(F.lit(1)), F.count_distinct("shard"), F.sum("n_sequences")).first()
+    if tuple(found) != (layout.shards, layout.shards, total):
+        raise AssertionError(f"{found[1]} shards with {found[2]} sequences were written of {layout.shards} with {total}")
+    with WholeFile(f"{path}/layout.json") as f:
+        f.write(json.dumps(asdict(layout)).encode())
+    discard(numbers)
     return layout, manifest
 
 
-def _is_scan(docs: DataFrame) -> bool:
-    """Whether the rows come from files as they are, so that both passes see the same splits in the same order."""
-    plan = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
-    names = {str(x.getClass().getSimpleName()) for x in (plan.apply(i) for i in range(plan.size()))}
-    shape = docs._jdf.queryExecution().optimizedPlan().toString()
-    moved = ("Join", "Aggregate", "Sort", "Repartition", "Window", "Union", "Limit", "Generate", "MapIn", "Sample", "Distinct", "Rebalance")
-    return names == {"LogicalRelation"} and not any(x in shape for x in moved)
+def _records(b: pa.RecordBatch, length: int, width: int, id_bytes: int) -> np.ndarray:
+    """Rows (slot, doc_id, chunk, n, ids) as records of fixed width, one below the other."""
+    n = b.column(3).to_numpy().astype(np.int64)
+    out = np.zeros((len(n), width), np.uint8)
+    head = np.zeros(len(n), HEAD)
+    ids = b.column(1)
+    head["doc_id"], head["chunk"] = ids.fill_null(0).to_numpy(), b.column(2).to_numpy()
+    head["n"] = n | np.where(ids.is_null().to_numpy(zero_copy_only=False), NO_ID, 0)
+    out[:, : HEAD.itemsize] = head.view(np.uint8).reshape(len(n), -1)
+    body = np.arange(id_bytes * length) < id_bytes * n[:, None]
+    out[:, HEAD.itemsize :][body] = np.frombuffer(b"".join(map(zlib.decompress, b.column(4).to_pylist())), np.uint8)
+    return out
 
 
 def read_slots(layout: Layout, first: int = 0, most: int | None = None) -> Iterator[tuple[int, np.void, np.ndarray]]:
     """Sequences in slot order from `first` on: (slot, head, ids). Seeks straight to the first; reads on in sequence."""
-    width, slot = stride(layout.length), first
+    width, slot = layout.stride, first
     last = layout.sequences if most is None else min(layout.sequences, first + most)
     while slot < last:
         shard, row = divmod(slot, layout.per_shard)
@@ -206,7 +289,7 @@ def read_slots(layout: Layout, first: int = 0, most: int | None = None) -> Itera
             while slot < last and slot // layout.per_shard == shard:
                 data = f.read(width)
                 head = np.frombuffer(data, HEAD, 1)[0]
-                yield slot, head, np.frombuffer(data, "<u2", int(head["n"]), HEAD.itemsize)
+                yield slot, head, np.frombuffer(data, f"<u{layout.id_bytes}", int(head["n"]) & (NO_ID - 1), HEAD.itemsize)
                 slot += 1
 
 
@@ -215,7 +298,7 @@ def read_back(spark: SparkSession, layout: Layout, manifest: DataFrame) -> DataF
 
     A shard whose bytes do not agree with its checksum raises an error.
     """
-    width = stride(layout.length)
+    width = layout.stride
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,10 +310,12 @@ def read_back(spark: SparkSession, layout: Layout, manifest: DataFrame) -> DataF
                         found = zlib.crc32(data, found)
                         n = len(data) // width
                         heads = np.ndarray(n, HEAD, data, 0, (width,))
-                        sums = [zlib.crc32(data[k * width + HEAD.itemsize : k * width + HEAD.itemsize + 2 * z]) for k, z in enumerate(heads["n"].tolist())]
+                        size, view = heads["n"].astype(np.int64) & (NO_ID - 1), memoryview(data)
+                        sums = [zlib.crc32(view[s : s + z]) for s, z in zip(range(HEAD.itemsize, n * width, width), (size * layout.id_bytes).tolist())]
                         at = np.arange(row, row + n)
-                        arrays = [first + at, np.full(n, shard, np.int32), at * width, heads["doc_id"].astype(np.int64), heads["chunk"].astype(np.int64), heads["n"].astype(np.int64), np.array(sums, np.int64)]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["slot", "shard", "byte_offset", "doc_id", "chunk", "n_tokens", "ids_crc32"])
+                        doc_id = pa.array(heads["doc_id"].astype(np.int64), mask=heads["n"] >= NO_ID)
+                        arrays = [first + at, np.full(n, shard, np.int32), at * width, doc_id, heads["chunk"].astype(np.int64), size, np.array(sums, np.int64)]
+                        yield pa.RecordBatch.from_arrays([x if x is doc_id else pa.array(x) for x in arrays], ["slot", "shard", "byte_offset", "doc_id", "chunk", "n_tokens", "ids_crc32"])
                         row += n
                 if found != crc:
                     raise ValueError(f"shard {shard} does not agree with its checksum")

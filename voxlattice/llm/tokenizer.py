@@ -47,10 +47,18 @@ class Vocabulary:
         with open(path, "rb") as f:
             return cls(f.read())
 
+    def end(self) -> int:
+        """The id after the last rank."""
+        return max(int(line.split()[1]) for line in self.content.splitlines() if line) + 1
+
     def shared(self, spark: SparkSession):
         return spark.sparkContext.broadcast(self.content)
 
 
+def id_type(end: int) -> np.dtype:
+    return np.dtype("<u2" if end <= 0xFFFF else "<u4")
+
+
 _encoders: dict[bytes, Encoder] = {}
 
 
@@ -66,8 +74,8 @@ class Encoder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         #: The id after the last rank is free and stands for the end of a document.
         self.end = max(ranks.values()) + 1
-        if self.end > 0xFFFF:
-            raise ValueError("token ids over 16 bits are not supported")
+        #: Two bytes an id where they hold the end mark too, else four.
+        self.dtype = id_type(self.end)
         self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.width = np.zeros(self.end + 1, np.int64)
         for b, i in ranks.items():
@@ -78,7 +86,7 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint16)
+        self.pool = np.zeros(0, self.dtype)
 
     def _encode_pieces(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces end to end, and the number of each. plain: the piece begins with a space and can be joined."""
@@ -89,7 +97,7 @@ class Encoder:
             s, n = start[order[:joined]], size[order[:joined]]
             end = np.cumsum(n)
             index = np.repeat(s - (end - n), n) + np.arange(end[-1])
-            ids = np.array(self.bpe.encode_to_numpy(data[index].tobytes().decode("utf-8", "replace"), disallowed_special=()), np.uint16)
+            ids = np.array(self.bpe.encode_to_numpy(data[index].tobytes().decode("utf-8", "replace"), disallowed_special=()), self.dtype)
             token_end = np.cumsum(self.width[ids])
             stop = np.searchsorted(token_end, end) + 1
             if len(token_end) != stop[-1] or not np.array_equal(token_end[stop - 1], end):
@@ -98,9 +106,9 @@ class Encoder:
             count[order[:joined]] = np.diff(stop, prepend=0)
         for i in order[joined:]:
             ids = self.bpe.encode_ordinary(data[start[i] : start[i] + size[i]].tobytes().decode("utf-8", "replace"))
-            out.append(np.array(ids, np.uint16))
+            out.append(np.array(ids, self.dtype))
             count[i] = len(ids)
-        ids = np.concatenate(out) if out else np.zeros(0, np.uint16)
+        ids = np.concatenate(out) if out else np.zeros(0, self.dtype)
         # back to the order of the pieces
         placed = count[order]
         begin = np.empty(len(order), np.int64)
@@ -112,7 +120,7 @@ class Encoder:
         data, off = column_bytes(col)
         n = len(data)
         if not n:
-            return np.zeros(0, np.uint16), np.zeros(len(col), np.int64)
+            return np.zeros(0, self.dtype), np.zeros(len(col), np.int64)
         first = np.zeros(n + 1, bool)
         first[off] = True
         cut = np.zeros(n, bool)
