@@ -108,12 +108,40 @@ def test_warc_round_trip(spark):
             revisit = len(data) >= least and last[h or ""] != n
             assert (r["record_type"], r["refers_to"]) == (("revisit", last[h or ""]) if revisit else ("response", None))
     assert warc.round_trip(pages.where("false")).count() == 0
-    with pytest.raises(ValueError, match="page_id"):
-        warc.round_trip(pages.withColumn("page_id", F.lit(None).cast("long")))
+
+
+def duck(sql, **tables):
+    """Rows of the SQL over tables of Arrow, as a multiset."""
+    import duckdb
+
+    with duckdb.connect() as db:
+        for name, table in tables.items():
+            db.register(name, table)
+        return collections.Counter(db.sql(sql).fetchall())
+
+
+def test_warc_of_repeated_and_missing_ids(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(1, "u", "aaaa"), (1, "u", "bbbb"), (2, "u", "bbbb"), (3, "u", "cc"), (3, "u", "cc"), (None, "u", "dd"), (None, "v", "dd"), (None, "w", "aaaa"), (None, None, None), (4, "a", "e"), (4, "b", "e")]
+    rows += [(rng.choice([None, 5, 6, 7, 8]), rng.choice("uvw"), rng.choice(["x", "y", "z", None, ""])) for _ in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages"))
+    for source in (pages, spark.read.parquet(str(tmp_path / "pages"))):
+        got = warc.round_trip(extra(source))
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        table = pa.table({k: list(c) for k, c in zip(("page_id", "url", "html"), zip(*rows))})
+        assert collections.Counter(map(tuple, got.select(*names).collect())) == duck(f"SELECT {', '.join(names)} FROM ({warc.SQL})", pages=table)
+        archives = warc.write_archives(source, f"file://{tmp_path}/{random.random()}")
+        back = warc.read_archives(spark, archives, True).toPandas()
+        assert len(back) == len(rows) and back["record_id"].is_unique
+        held = back[back.record_type == "response"]
+        assert sorted(bytes(x) for x in held["payload"]) == sorted({(h or "").encode() for _, _, h in rows})
+        assert set(back["refers_to"].dropna()) <= set(held["record_id"])
 
 
 def test_warc_members_stand_alone_and_errors_are_found():
-    one, two = warc.record(1, "u", b"abc" * 50_000, None), warc.record(2, "u", b"abc", 1)
+    first = warc.Row(1, "f", 0)
+    one, two = warc.record(first, "u", b"abc" * 50_000, None), warc.record(warc.Row(2, "f", 1), "u", b"abc", first)
     archive = warc.gzip_member(one) + warc.gzip_member(two)
     assert gzip.decompress(archive) == one + two
     got = list(warc.records(io.BytesIO(archive), True))
