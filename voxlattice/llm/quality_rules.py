@@ -198,20 +198,26 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Forest:
-    """Fit on at most fit_rows labelled documents: those with the smallest hash of doc_id, whatever the input's size."""
+    """Fit on at most fit_rows labelled documents: those with the smallest hash of doc_id, whatever the input's size.
+
+    An id counts once, however many rows have it: with the text of the least hash and its largest label. Null ids and
+    null labels do not count; null and empty texts count as texts without words; other columns are not read. Without
+    labelled rows, or with one class only, every text that the base rules pass is kept.
+    """
     some = labels.where(F.col(target).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(target).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     # At most fit_rows rows of 16 bytes: a bound by parameter.
-    joined = _columns(docs, id_col, text_col).join(F.broadcast(some), "doc_id")
+    joined = _columns(docs, id_col, text_col).join(F.broadcast(some), "doc_id").withColumn("h", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in slices(b.column(0), SLICE):
                 part = b.slice(i, j - i)
                 x = statistics(part.column(0))[1]
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), part.column(3), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "h", "x"])
 
-    rows = joined.select("text", "y", "doc_id").mapInArrow(run, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id")
-    rows = rows.drop_duplicates("doc_id")
+    measured = joined.select("text", "y", "doc_id", "h").mapInArrow(run, "doc_id long, y double, h long, x array<double>")
+    # One row an id, chosen before the shuffle and again after it, so fit_rows rows at most reach the driver.
+    rows = measured.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct("h", "x")).alias("least")).select("doc_id", "y", "least.x").toPandas().sort_values("doc_id")
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, (rows["y"].to_numpy() > 0).astype(float), list(FEATURES.values()))
 
@@ -226,7 +232,7 @@ def verdicts(col: pa.Array, forest: Forest, keep_from: float) -> tuple[np.ndarra
 
 
 def keep_rows(docs: DataFrame, forest: Forest, keep_from: float = KEEP_FROM, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text is kept, all columns as they were. Null and empty texts go."""
+    """The rows of docs whose text is kept, all columns as they were: the verdicts of apply(). Null and empty texts go."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +248,8 @@ def apply(docs: DataFrame, forest: Forest, keep_from: float = KEEP_FROM, id_col:
     """doc_id, the COUNTS, base_failed, score, kept: one row per document.
 
     kept is false if base_failed, else whether the trees' probability reaches keep_from. Null and empty texts have no
-    words and fail. Repeated rows repeat, null ids stay, other columns are not read.
+    words and fail. Repeated rows repeat, equal texts get equal verdicts, null ids stay, other columns are not read, an
+    empty table gives no rows. A very long text is measured whole, in some 60 bytes of memory a byte.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
