@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
 from .textkernel import slices
 from .tokenizer import RANKS, Vocabulary, encoder
 
@@ -23,7 +24,11 @@ BLOCK = 1024
 
 
 def token_counts(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens: one row per document; null and empty texts have no tokens."""
+    """doc_id, n_tokens: one row per document.
+
+    Null and empty texts have no tokens, a very long text is encoded whole, repeated rows repeat, null ids stay, other
+    columns are not read, an empty table gives no rows.
+    """
     spark = docs.sparkSession
     content = Vocabulary.read(ranks).shared(spark)
 
@@ -47,6 +52,8 @@ def histogram(counts: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     """
     n = F.coalesce(F.col(length_col), F.lit(0)).cast("long")
     bars = counts.groupBy(n.alias("n_tokens")).agg(F.count(F.lit(1)).alias("documents")).withColumn("tokens", F.col("n_tokens") * F.col("documents")).withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
+    # Used twice from here on; written, the texts are encoded once.
+    bars = written(bars, "length-bars")
     blocks = bars.groupBy("block").agg(F.sum("documents").alias("d"), F.sum("tokens").alias("t"))
     # One row per BLOCK lengths: even texts of 10**9 tokens give a million rows.
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
