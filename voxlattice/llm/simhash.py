@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -172,16 +172,19 @@ def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     """Distinct fingerprints (column fp) -> links (a, b) that connect exactly what links at MAX_BITS bits connect."""
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     high = F.shiftrightunsigned("fp", 32)
-    # The distinct fingerprints are few bytes, and Spark would put them into few tasks; the fan-out is what costs.
+    # The distinct fingerprints are few bytes, and Spark would put them into few tasks; the fan-out is what costs. By
+    # another expression than fp, by which they are dealt already, so that the planner keeps this exchange.
     # explode_outer: for explode, the optimizer adds a filter that computes all anchors once more.
-    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    sent = fps.select("fp", F.explode_outer(F.concat(_anchors(low, 0), _anchors(high, 1))).alias("anchor"))
-    met = sent.select("anchor", "fp", F.count(F.lit(1)).over(Window.partitionBy("anchor")).alias("m")).where("m > 1")
-    cold = met.where(F.col("m") <= tile).select("anchor", "fp").mapInArrow(_runs, "a long, b long")
+    n_tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = fps.repartition(n_tasks, F.xxhash64("fp", F.lit("spread")))
+    sent = written(spread.select("fp", F.explode_outer(F.concat(_anchors(low, 0), _anchors(high, 1))).alias("anchor")), "simhash-anchors")
+    # Anchors with many members, counted by an aggregation that combines before the shuffle: sent / tile rows at most.
+    crowded = written(sent.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > tile), "simhash-crowded")
+    cold = sent.join(crowded, "anchor", "left_anti").repartition(n_tasks, "anchor").sortWithinPartitions("anchor").select("anchor", "fp").mapInArrow(_runs, "a long, b long")
+    met = sent.join(crowded, "anchor")
     n = F.ceil(F.col("m") / F.lit(tile)).cast("int")
     hot = (
-        met.where(F.col("m") > tile)
-        .withColumn("n", n)
+        met.withColumn("n", n)
         .withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
         .select("anchor", "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
         .select("anchor", "fp", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
