@@ -5,14 +5,21 @@ A notice that may have k edits is split into k + 1 pieces; by the pigeonhole pri
 unchanged, so exact searches for the pieces find every place worth looking at. There the regex library matches the
 notice with at most k edits and tells where and how many. Whole phrases are found beside that by exact search.
 
-All work on a document is done where the document is: no shuffle, and memory of one text and its words at a time.
+Licences differ by a word or two, which edits must not touch: a notice names its telling words, which have to stand as
+they are; the edits are those of what is before and after them. Where notices overlap, the one with the fewest edits
+stays (of equals the longest), so a notice is not reported beside the variant that the text really holds.
+
+All work on a document is done where the document is: no shuffle, and memory of one text and its words at a time; time
+grows in proportion to the text.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,18 +32,34 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Notices that are searched with edits, and their labels. They are written as normalised words.
+# Notices that are searched with edits, and their labels. They are written as normalised words; the words
+# in brackets tell the licence from others and have to stand unchanged.
 NOTICES = {
-    "licensed under the apache license version 2 0": "apache",
+    "licensed under the [apache] license version 2 0": "apache",
+    "spdx license identifier [apache 2 0]": "apache",
     "redistribution and use in source and binary forms with or without modification": "bsd",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "licensed under the gnu general public license": "gpl",
+    "spdx license identifier [bsd]": "bsd",
+    "licensed under [cc by 4] 0": "cc-by",
+    "licensed under [cc by nc 4] 0": "cc-by-nc",
+    "licensed under [cc by nc nd 4] 0": "cc-by-nc-nd",
+    "licensed under [cc by nc sa 4] 0": "cc-by-nc-sa",
+    "licensed under [cc by nd 4] 0": "cc-by-nd",
+    "licensed under [cc by sa 4] 0": "cc-by-sa",
+    "licensed under the gnu [affero] general public license": "agpl",
+    "licensed under the [gnu general] public license": "gpl",
+    "spdx license identifier [gpl]": "gpl",
     "permission to use copy modify and or distribute this software": "isc",
-    "gnu lesser general public license": "lgpl",
+    "spdx license identifier [isc]": "isc",
+    "gnu [lesser general] public license": "lgpl",
+    "spdx license identifier [lgpl]": "lgpl",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "released under the mit license": "mit",
-    "subject to the terms of the mozilla public license": "mpl",
+    "released under the [mit] license": "mit",
+    "spdx license identifier [mit]": "mit",
+    "subject to the terms of the [mozilla] public license": "mpl",
+    "released under the [mpl] license": "mpl",
+    "spdx license identifier [mpl 2 0]": "mpl",
     "free and unencumbered software released into the public domain": "unlicense",
+    "spdx license identifier [unlicense]": "unlicense",
     "all rights reserved": "reserved",
 }
 
@@ -50,21 +73,30 @@ SPAN = "label string, base boolean, start_word int, end_word int, edits int, sco
 
 @dataclass(frozen=True)
 class Notice:
+    """text is the whole notice; head and tail, with spaces at their inner ends, surround the telling words, if it has any."""
+
     text: bytes
     label: str
     most: int
     pieces: tuple[tuple[int, bytes], ...]
-    pattern: object
+    telling: bytes
+    head: object
+    tail: object
 
 
 def compiled(notices: dict[str, str], chars_per_edit: int = CHARS_PER_EDIT) -> list[Notice]:
     out = []
     for words, label in notices.items():
-        text = words.encode()
+        before, _, rest = words.encode().partition(b"[")
+        telling, _, after = rest.partition(b"]")
+        text = before + telling + after
         most = len(text) // chars_per_edit
         cuts = [round(i * len(text) / (most + 1)) for i in range(most + 2)]
         pieces = tuple((a, text[a:b]) for a, b in zip(cuts, cuts[1:]))
-        out.append(Notice(text, label, most, pieces, regex.compile(rb"(?e)(?:%s){e<=%d}" % (regex.escape(text), most))))
+        fuzzy = lambda x, how, end: regex.compile(rb"(?%s)(?:%s){e<=%d}%s" % (how, regex.escape(x), most, end))  # noqa: E731, B023
+        # The spaces around the telling words belong to them.
+        sides = (fuzzy(before.rstrip(), b"b", rb"\Z"), fuzzy(after.lstrip(), b"b", b"")) if telling else (fuzzy(text, b"e", b""), None)
+        out.append(Notice(text, label, most, pieces, telling, *sides))
     return out
 
 
@@ -75,10 +107,10 @@ def normal(text: str) -> tuple[bytes, int]:
 
 
 def places(body: bytes, phrase: bytes) -> Iterator[int]:
-    """Word positions at which the phrase's words stand consecutively, overlaps included."""
+    """Byte positions of the spaces before which the phrase's words stand consecutively, overlaps included."""
     sought, at = b" %s " % phrase, -1
     while (at := body.find(sought, at + 1)) >= 0:
-        yield body.count(b" ", 0, at)
+        yield at
 
 
 def regions(body: bytes, notice: Notice) -> list[tuple[int, int]]:
@@ -98,31 +130,59 @@ def regions(body: bytes, notice: Notice) -> list[tuple[int, int]]:
     return merged
 
 
+def matches(body: bytes, notice: Notice) -> Iterator[tuple[int, int, int]]:
+    """(begin, end, edits) of the notice's matches; white space at either end is left out."""
+    for a, b in regions(body, notice):
+        if not notice.telling:
+            for m in notice.head.finditer(body, a, b):
+                yield m.start(), m.end(), sum(m.fuzzy_counts)
+            continue
+        # A region's ends are those of matches, not of words: the space beside a telling word can be one byte further.
+        for at in places(body[max(0, a - 1) : b + 1], notice.telling):
+            at += max(0, a - 1)
+            after = at + len(notice.telling) + 2
+            reach = len(notice.text) + notice.most
+            head = notice.head.search(body, max(0, at - reach), at)
+            tail = notice.tail.match(body, after, min(len(body), after + reach)) if head else None
+            if tail and sum(head.fuzzy_counts) + sum(tail.fuzzy_counts) <= notice.most:
+                yield head.start(), tail.end(), sum(head.fuzzy_counts) + sum(tail.fuzzy_counts)
+
+
+def best(spans: list[tuple]) -> list[tuple]:
+    """Of spans (label, base, start, end, edits, ...) that overlap, the one with the fewest edits, then the longest, then the first."""
+    kept: list[tuple] = []
+    for s in sorted(spans, key=lambda s: (s[4], s[2] - s[3], s[2], s[0])):
+        at = bisect.bisect_left(kept, s[3], key=lambda k: k[2])
+        if at == 0 or kept[at - 1][3] <= s[2]:
+            kept.insert(at, s)
+    return kept
+
+
 def scan(text: str, phrases: dict[str, str], notices: list[Notice]) -> tuple[int, list[tuple]]:
     """The number of words, and spans (label, base, start_word, end_word, edits, score, text)."""
     body, n = normal(text)
-    spans = []
-    for phrase, label in phrases.items():
-        width = phrase.count(" ") + 1
-        spans += [(label, True, w, w + width, 0, 1.0, phrase) for w in places(body, phrase.encode())]
+    base = [(label, at, phrase) for phrase, label in phrases.items() for at in places(body, phrase.encode())]
+    fuzzy = []
     for notice in notices:
-        for a, b in regions(body, notice):
-            for m in notice.pattern.finditer(body, a, b):
-                found = m.group().strip()
-                if not found:
-                    continue
-                begin = m.start() + len(m.group()) - len(m.group().lstrip())
-                first = body.count(b" ", 0, begin) - 1
-                edits = sum(m.fuzzy_counts)
-                spans.append((notice.label, False, first, first + found.count(b" ") + 1, edits, 1.0 - edits / len(notice.text), found.decode("utf-8", "replace")))
-    return n, spans
+        for begin, end, edits in matches(body, notice):
+            found = body[begin:end]
+            if found.strip():
+                fuzzy.append((notice, begin + len(found) - len(found.lstrip()), found.strip(), edits))
+    if not base and not fuzzy:
+        return n, []
+    spaces = np.flatnonzero(np.frombuffer(body, np.uint8) == 0x20)
+    word = lambda at: int(np.searchsorted(spaces, at))
+    spans = [(label, True, word(at), word(at) + phrase.count(" ") + 1, 0, 1.0, phrase) for label, at, phrase in base]
+    close = [(x.label, False, word(at) - 1, word(at) + found.count(b" "), edits, 1.0 - edits / len(x.text), found.decode("utf-8", "replace")) for x, at, found, edits in fuzzy]
+    return n, spans + best(close)
 
 
 def find_notices(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, chars_per_edit: int = CHARS_PER_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, spans: one row per document, whole texts.
 
-    Spans of phrases have base true. Null and empty texts have no words and no spans; rows repeat as they do in the
-    input, null ids stay null, other columns are not read, an empty table gives no rows.
+    Spans of phrases have base true. Null and empty texts have no words and no spans; very long texts are searched
+    whole; rows repeat as they do in the input, null ids stay null, other columns are not read, an empty table gives no
+    rows. Notices that overlap leave one span, as the module says; phrases all stay.
     """
     phrases = PHRASES if phrases is None else phrases
     raw = NOTICES if notices is None else notices
