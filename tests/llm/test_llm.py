@@ -475,6 +475,20 @@ def test_anchors_lose_no_link(spark, tile):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(expected))
 
 
+def test_anchors_are_sent_from_all_tasks(spark, monkeypatch):
+    plans = []
+
+    def seen(df, name, write=store.written):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    distinct = spark.range(5000).select(F.xxhash64("id").alias("fp")).groupBy("fp").agg(F.count(F.lit(1)))
+    simhash.links(distinct.select("fp")).count()
+    plan = dict(plans)["simhash-anchors"]
+    assert "REPARTITION_BY_NUM" in plan and plan.index("Generate") < plan.index("REPARTITION_BY_NUM")
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (None, 3)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -500,6 +514,32 @@ def test_boosted_trees_are_monotone_and_learn():
         assert (quality_rules.fit(np.zeros((len(y), 3)), y, [0, 0, 0]).probability(x[:4]) > 0.99).all()
 
 
+def test_fitting_rows_are_bounded_and_do_not_depend_on_their_order(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = [prose(rng, 30) if n % 2 else "%%% " * 12 for n in range(400)]
+    rows = docs(spark, texts * 5, [n % 50 for n in range(2000)])
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(50)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_rules, "fit", lambda x, y, monotone: seen.append((x.tolist(), y.tolist())))
+    for d in (rows, rows.repartition(7)):
+        quality_rules.train(d, labels, fit_rows=30)
+    assert len(seen[0][1]) == 30 and seen[0] == seen[1]
+
+
+def test_trees_agree_with_a_walk():
+    rng = np.random.default_rng(3)
+    x = rng.random((500, 4))
+    f = quality_rules.fit(x, (x[:, 0] + x[:, 1] ** 2 > 0.8).astype(float), [0, 1, 0, -1], trees=25)
+
+    def walk(node, row):
+        while f.left[node] != node:
+            node = f.left[node] if row[f.feature[node]] <= f.threshold[node] else f.right[node]
+        return f.value[node]
+
+    for row, p in zip(x[:100], f.probability(x[:100])):
+        assert p == pytest.approx(1 / (1 + np.exp(-f.bias - sum(walk(r, row) for r in f.roots))))
+
+
 def test_quality_rules(spark):
     rng = random.Random(6)
     good = [prose(rng, 120) for _ in range(60)]
@@ -522,6 +562,19 @@ def test_quality_rules(spark):
 # --- 7 sharding -------------------------------------------------------------------------------------------------------
 
 
+def test_copies_and_missing_ids_are_interleaved(spark):
+    rows = [(None, f"t{n}", "en", "a", 1) for n in range(400)] + [(7, "same", "en", "b", 1)] * 9000 + [(n, "x", "en", "c", 1) for n in range(600)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = sharding.shard_documents(d).toPandas()
+    assert len(got) == 10_000 and all(sorted(g["slot"]) == list(range(625)) for _, g in got.groupby("shard"))
+    assert got[got["source"] == "a"].groupby("shard").size().between(23, 27).all()
+    assert got[got["source"] == "b"].groupby("shard").size().between(560, 565).all()
+    names = ["doc_id", "source", "size", "text_crc32", "shard", "slot"]
+    table = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[3] for r in rows]})
+    expected = duck(f"SELECT {', '.join(names)} FROM ({sharding.sql()})", documents=table)
+    assert collections.Counter(map(tuple, sharding.shard_documents(d).select(*names).collect())) == expected
+
+
 def test_sharding(spark):
     rng = random.Random(7)
     sizes = {"hot": 3000, "a": 700, "b": 333, None: 50, **{f"tiny{n}": 1 for n in range(200)}}
@@ -566,9 +619,64 @@ def test_license_scan_base(spark):
     assert license_scan.find_notices(docs(spark, [])).count() == 0
 
 
+def edits_of(a, b):
+    """The least edits between a and each beginning of b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row
+
+
+def has_notice(body, words, most):
+    """Whether the notice stands in the body, by a whole table of edits on either side of every place of its telling words."""
+    before, _, rest = words.partition("[")
+    telling, _, after = rest.partition("]")
+    if not telling:
+        return regex.search(rb"(?:%s){e<=%d}" % (regex.escape(words.encode()), most), body) is not None
+    for m in re.finditer(rb"(?= %s )" % telling.encode(), body):
+        left, right = body[: m.start()], body[m.start() + len(telling) + 2 :]
+        if min(edits_of(before.rstrip().encode()[::-1], left[::-1])) + min(edits_of(after.lstrip().encode(), right)) <= most:
+            return True
+    return False
+
+
+def test_licences_are_told_apart(spark):
+    cases = {
+        "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+        "licenced under CC BY-ND 4.0": "cc-by,cc-by-nd",
+        "Licensed under CC-BY-NC-SA 4.0": "cc-by,cc-by-nc-sa",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Released under the MPL license": "mpl",
+        "Releasd under the MIT licence": "mit",
+        "SPDX-License-Identifier: Apache-2.0": "apache",
+        "SPDX-License-Identifier: MIT": "mit",
+        "Licensed under the GNU Affero General Public License": "agpl,gpl",
+        "GNU Lesser General Public License": "gpl,lgpl",
+        "Released under the Xyz license": "",
+    }
+    got = license_scan.digest(license_scan.find_notices(docs(spark, [f"before it {t} after it" for t in cases]))).collect()
+    assert {list(cases)[r["doc_id"]]: r["labels"] for r in got} == cases
+
+
+def test_licence_places_are_found_in_linear_time():
+    import time
+
+    sought = license_scan.compiled(license_scan.NOTICES)
+    took = []
+    for n in (2000, 16000):
+        began = time.process_time()
+        words, spans = license_scan.scan("cc by released under the mit license " * n, license_scan.PHRASES, sought)
+        took.append(time.process_time() - began)
+        assert words == 7 * n and [s[2] for s in spans if s[1]] == list(range(0, 7 * n, 7)) and sum(s[0] == "mit" for s in spans) == n
+    assert took[1] < 24 * took[0]
+
+
 def test_fuzzy_notices_agree_with_a_whole_search():
     rng = random.Random(8)
     sought = license_scan.compiled(license_scan.NOTICES)
+    written = dict(zip([n.text for n in sought], license_scan.NOTICES))
     for _ in range(150):
         notice = rng.choice(sought)
         chars = list(notice.text.decode())
@@ -578,9 +686,11 @@ def test_fuzzy_notices_agree_with_a_whole_search():
             rng.choice([lambda p=p: chars.__setitem__(p, rng.choice("xyz ")), lambda p=p: chars.insert(p, "q"), lambda p=p: chars.pop(p)])()
         text = prose(rng, 30) + " " + "".join(chars) + " " + prose(rng, 30)
         body, _ = license_scan.normal(text)
-        found = {s[0] for s in license_scan.scan(text, {}, sought)[1]}
-        assert found == {n.label for n in sought if regex.search(rb"(?:%s){e<=%d}" % (regex.escape(n.text), n.most), body)}
-        assert edits > notice.most or notice.label in found
+        found = {n.text for n in sought if list(license_scan.matches(body, n))}
+        assert found == {n.text for n in sought if has_notice(body, written[n.text], n.most)}
+        assert edits > notice.most or notice.telling or notice.text in found
+        spans = license_scan.scan(text, {}, sought)[1]
+        assert bool(spans) == bool(found) and all(a[3] <= b[2] for a, b in zip(spans, spans[1:]))
 
 
 # --- 9 mixing ---------------------------------------------------------------------------------------------------------
@@ -632,7 +742,7 @@ def test_mixing_edge_cases(spark):
 
 def test_decontamination_against_all_pairs(spark):
     rng = random.Random(10)
-    items = [prose(rng, n, 300) for n in (5, 6, 8, 14, 20, 33, 60)] + ["four words are few", None, "", prose(rng, 20, 300)]
+    items = [prose(rng, n, 300) for n in (5, 6, 8, 14, 20, 33, 60)] + ["four words are few", "one", None, "", prose(rng, 20, 300)]
     items.append(items[4])
     texts = []
     for n, item in enumerate(items[:7]):
@@ -640,18 +750,22 @@ def test_decontamination_against_all_pairs(spark):
         for drop in (0, 1, len(w) // 6, len(w) // 3):
             cut = w[drop:] if n % 2 else w[: len(w) - drop]
             texts.append(f"{prose(rng, 200)} {' '.join(cut).upper()}\n{prose(rng, 900)}")
-    texts += [items[3], *odd_texts(), prose(rng, 3000, 300)]
+    texts += [items[3], *odd_texts(), prose(rng, 3000, 300), f"{prose(rng, 30)} Four words are few {prose(rng, 9)}", "Four words are fewer", "four words  are\nfew", "ONE, more one"]
     bench = spark.createDataFrame([(n, t) for n, t in enumerate(items)] + [(None, items[6])], "item_id long, text string")
-    shingles = lambda t: {tuple(w[i : i + 5]) for w in [words_of((t or "").lower())] for i in range(len(w) - 4)}
+    shingles = lambda t, k: {tuple(w[i : i + k]) for w in [words_of((t or "").lower())] for i in range(len(w) - k + 1)}
     expected = {}
     for (d, t), (i, item) in itertools.product(enumerate(texts), [*enumerate(items), (None, items[6])]):
-        s = shingles(item)
-        n = len(s & shingles(t))
+        k = min(5, len(words_of(item)))
+        s = shingles(item, k) if k else set()
+        n = len(s & shingles(t, k)) if k else 0
         if s and n >= 0.8 * len(s) - 1e-9:
             expected[d, i] = (len(s), n)
     df = extra(docs(spark, texts))
     got = {(r["doc_id"], r["item_id"]): (r["n_item_shingles"], r["n_shared"]) for r in decontamination.contaminated(df, bench.withColumn("hash", F.lit(1))).collect()}
-    assert got == expected and len(expected) > 15
+    assert got == expected and len(expected) > 15 and sum(i == 7 for _, i in expected) == 2 and sum(i == 8 for _, i in expected) == 2
+    whole = [pa.table({"doc_id": range(len(texts)), "text": texts}), pa.table({"item_id": range(len(items)), "text": items})]
+    sql = duck(f"SELECT doc_id, item_id, n_item_shingles, n_shared FROM ({decontamination.SQL})", documents=whole[0], benchmark=whole[1])
+    assert sql == collections.Counter((d, i, *x) for (d, i), x in expected.items() if i is not None)
     kept = decontamination.clean(df, bench)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in expected}
     assert decontamination.contaminated(docs(spark, []), bench).count() == 0 and decontamination.clean(df, bench.where("false")).count() == len(texts)
