@@ -196,34 +196,82 @@ def test_passages(spark):
     assert len(nulls) == 3
 
 
-def test_copies_do_not_fill_groups(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "GROUP", 8)
+def test_copies_do_not_fill_tiles(spark):
     rng = random.Random(3)
     texts = []
     for _ in range(6):
         shared = prose(rng, 60)
         texts += [f"{prose(rng, 40)} {shared} {prose(rng, 40)}"] * 40 + [f"{prose(rng, 70)} {shared} {prose(rng, 30)}"]
-    got = {r["doc_id"]: r for r in substring_dedup.passages(docs(spark, texts).repartition(4)).collect()}
+    got = {r["doc_id"]: r for r in substring_dedup.passages(docs(spark, texts).repartition(4), tile=8).collect()}
     assert all(n in got and got[n]["start_word"] <= 70 and got[n]["end_word"] >= 130 for n in range(40, len(texts), 41))
+    assert len(substring_dedup.passages(docs(spark, texts[:41] * 3, [5] * 123)).collect()) == 123
 
 
-def test_pairs_meet_across_groups(spark, monkeypatch):
-    """Around a footer that all texts have, pairs share 20 words more: every text has one partner, found in any group."""
-    monkeypatch.setattr(substring_dedup, "GROUP", 8)
+@pytest.mark.parametrize("levels", [0, 2])
+def test_partners_are_found_in_keys_of_any_size(spark, monkeypatch, levels):
+    """Around a footer that all texts have, pairs share 20 words more: every text has one partner, whatever the tiles."""
+    apart = substring_dedup._verified_apart
+    monkeypatch.setattr(substring_dedup, "_verified_apart", lambda hot, level, _, tile, __: apart(hot, level, levels, tile, 2))
     rng = random.Random(4)
     footer, texts = prose(rng, 40), []
     for _ in range(60):
         more = prose(rng, 20)
         texts += [f"{prose(rng, 60)} {footer} {more}", f"{prose(rng, 80)} {footer} {more}"]
     texts += [f"{prose(rng, 60)} {footer} {prose(rng, 20)}" for _ in range(20)]
-    got = {r["doc_id"]: r for r in substring_dedup.passages(docs(spark, texts)).collect()}
+    got = {r["doc_id"]: r for r in substring_dedup.passages(docs(spark, texts), tile=8).collect()}
     assert set(got) == set(range(120))
-    assert all(got[n]["start_word"] <= 60 + 20 * (n % 2) and got[n]["n_words"] >= 60 for n in got)
-    monkeypatch.setattr(substring_dedup, "GROUP", 1 << 20)
+    assert all(got[n]["start_word"] <= 60 + 20 * (n % 2) and got[n]["n_words"] >= 60 and got[n]["class_id"] == n // 2 * 2 for n in got)
     one = substring_dedup.passages(docs(spark, texts)).collect()
     assert sorted(one) == sorted(got.values())
 
 
+def most_alike(a, b):
+    """The greatest Jaccard similarity of passages of LEAST shingles or more of two texts that repeat none, by all pairs."""
+    least = substring_dedup.LEAST
+    x, y = ([tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in (a, b))
+    if min(len(x), len(y)) < least:
+        return 0.0
+    total = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+    where = {s: q for q, s in enumerate(y)}
+    for p, s in enumerate(x):
+        if s in where:
+            total[p + 1, where[s] + 1] = 1
+    total = total.cumsum(0).cumsum(1)
+    runs = [np.array([(i, j) for i in range(len(t)) for j in range(i + least, len(t) + 1)]).T for t in (x, y)]
+    (i, j), (k, m) = runs
+    common = total[j][:, m] - total[i][:, m] - total[j][:, k] + total[i][:, k]
+    return float((common / ((j - i)[:, None] + (m - k)[None] - common)).max())
+
+
+@pytest.mark.parametrize("tile", [substring_dedup.TILE, 6])
+def test_passages_against_all_pairs(spark, tile):
+    """Edits, insertions, halves of two documents and everyday phrases: whoever has a partner is found, and nobody else."""
+    rng = random.Random(14)
+    texts, phrases = [], [prose(rng, 10, 10**6).split() for _ in range(6)]
+    for _ in range(9):
+        core = prose(rng, rng.randrange(50, 70), 10**6).split()
+        for _ in range(3):
+            own = list(core)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(own))
+                rng.choice([lambda a=at: own.__setitem__(a, "x%d" % rng.randrange(10**9)), lambda a=at: own.insert(a, "y%d" % rng.randrange(10**9)), lambda a=at: own.pop(a)])()
+            texts.append(prose(rng, rng.randrange(15), 10**6).split() + own + prose(rng, rng.randrange(15), 10**6).split())
+        half = prose(rng, 35, 10**6).split()
+        texts += [core[:35] + prose(rng, 30, 10**6).split(), prose(rng, 30, 10**6).split() + half, core[:35] + half]
+    for _ in range(25):
+        texts.append([w for p in rng.sample(phrases, 5) for w in [*p, *prose(rng, 5, 10**6).split()]])
+    linked = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if set(texts[i]) & set(texts[j]) and most_alike(texts[i], texts[j]) >= 0.8}
+    expected = {n for pair in linked for n in pair}
+    assert 15 < len(expected) < 40
+    got = {r["doc_id"]: r for r in substring_dedup.passages(docs(spark, [" ".join(t) for t in texts]), tile=tile).collect()}
+    assert set(got) <= expected and len(got) >= 0.95 * len(expected)
+    root = list(range(len(texts)))
+    for _ in root:
+        for i, j in linked:
+            root[i] = root[j] = min(root[i], root[j])
+    assert all(root[r["class_id"]] == root[n] and r["class_id"] <= n for n, r in got.items())
+
+
 def test_pairs_at_the_limit_are_rarely_missed():
     assert (1 - substring_dedup.SIMILARITY) ** substring_dedup.FUNCTIONS < 0.002
     rng = np.random.default_rng(8)
@@ -246,15 +294,52 @@ def test_minima_of_very_long_texts():
         assert (got[at : at + len(seen)] == at + np.arange(len(seen)) + (seen >> np.uint64(24)).argmin(1)).all()
 
 
-def test_runs_of_all_lengths_against_brute_force():
+def test_longest_runs_against_brute_force():
     rng = np.random.default_rng(6)
-    held = rng.random((300, substring_dedup._WIDE)) < rng.choice([0.8, 0.88, 0.92], (300, 1))
-    held[:100, 70:] = False
-    for row, start, stop, similarity in zip(held, *substring_dedup.repeated_runs(held)):
+    side, wide = substring_dedup._SIDE, substring_dedup._WIDE
+    held = rng.random((300, wide)) < rng.choice([0.8, 0.88, 0.92], (300, 1))
+    held[:100, 120:] = False
+    for row, start, stop in zip(held, *substring_dedup.longest_runs(held)):
         sums = np.concatenate([[0], np.cumsum(row)])
-        good = [(i, j) for i in range(len(row)) for j in range(i + substring_dedup.LEAST, len(row) + 1) if 9 * (sums[j] - sums[i]) >= 8 * (j - i)]
-        assert (start, stop) == ((min(good)[0], max(j for _, j in good)) if good else (0, 0))
-        assert similarity >= 0.8 if good else similarity == 0
+        good = [j - i for i in range(side + 1) for j in range(max(side + 1, i + substring_dedup.LEAST), wide + 1) if 9 * (sums[j] - sums[i]) >= 8 * (j - i)]
+        assert stop - start == max(good, default=0)
+        assert stop == 0 or (start <= side < stop and 9 * (sums[stop] - sums[start]) >= 8 * (stop - start))
+
+
+def test_contexts_are_alike_only_if_passages_are():
+    rng = np.random.default_rng(9)
+    side, wide = substring_dedup._SIDE, substring_dedup._WIDE
+    fresh = lambda n: rng.integers(1, 1 << 32, n).astype(np.uint32) | 1
+    a, b, kinds = [], [], []
+    for n in range(400):
+        x, kind = fresh(wide), n % 4
+        y = fresh(wide)
+        y[side] = x[side]
+        if kind < 2:
+            lo, hi = side - rng.integers(20, 40), side + rng.integers(25, 40)
+            y[lo:hi] = x[lo:hi]
+            edited = rng.choice(np.arange(lo, hi), rng.integers(1, 4), False)
+            y[edited] = fresh(len(edited))
+            if kind:  # shifted to one side of the centre
+                y[side + 1 : wide] = np.concatenate([fresh(3), y[side + 1 : wide - 3]])
+        elif kind == 2:  # one half of the passage before, the other elsewhere and spread
+            y[side - 36 : side] = x[side - 36 : side]
+        a.append(x)
+        b.append(y)
+        kinds.append(kind)
+    a, b = np.array(a), np.array(b)
+    a0, a1, b0, b1, sim = substring_dedup.alike(a, b)
+    for n in range(400):
+        if sim[n]:
+            x, y = set(a[n, a0[n] : a1[n]].tolist()), set(b[n, b0[n] : b1[n]].tolist())
+            assert len(x & y) / len(x | y) >= 0.8 - 1e-9 and min(a1[n] - a0[n], b1[n] - b0[n]) >= 41
+        assert not (kinds[n] > 1 and sim[n])
+    assert np.mean([s > 0 for s, k in zip(sim, kinds) if k == 0]) > 0.8
+    lo = np.arange(800)
+    c = substring_dedup.Contexts(np.concatenate([a, b]), lo, lo)
+    found = c.links(np.arange(400), np.arange(400, 800))[0]
+    assert set(found) == set(np.flatnonzero(sim))
+    assert not len(substring_dedup.Contexts(np.concatenate([a, a]), np.tile(lo[:400], 2), np.tile(lo[:400], 2)).links(np.arange(400), np.arange(400, 800))[0])
 
 
 def test_edits_in_the_middle_of_longer_passages(spark):
@@ -286,18 +371,23 @@ def test_verification_does_not_depend_on_batches(size):
             c = base[t % 3].copy() if t < 12 else rng.integers(1, 1 << 32, wide).astype(np.uint32) | 1
             if t < 12:
                 c[rng.integers(0, wide, 2)] = rng.integers(1, 1 << 32, 2)
-            rows.append((k, t, 10 * t, c.tobytes()))
-    schema = pa.schema([("key", pa.int64()), ("tkey", pa.int64()), ("first", pa.int32()), ("context", pa.binary())])
+            rows.append((k, 0, t, t, t, 100 + t, c.tobytes()))
+    schema = pa.schema([(n, pa.int64()) for n in substring_dedup._CONTEXT_NAMES[:-1]] + [("context", pa.binary())])
     batches = (pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[a : a + size]], schema) for a in range(0, len(rows), size))
     got = [r for b in substring_dedup._verified(batches) for r in b.to_pylist()]
-    assert len(got) == 60 and {r["tkey"] for r in got} == set(range(12)) and {r["other"] for r in got} == {0}
-    assert all(r["stop"] - r["start"] >= substring_dedup.LEAST_WORDS and r["similarity"] >= 0.8 for r in got)
-
-
-def test_held_by_others():
-    codes = np.array([[1, 2, 0], [2, 3, 9], [3, 1, 1], [1, 2, 3]], np.uint32)
-    got = substring_dedup.held_by_others(np.array([0, 0, 0, 1]), np.array([5, 6, 6, 7]), codes)
-    assert got.tolist() == [[True, True, False], [True, False, False], [False, True, True], [False, False, False]]
+    assert len(got) == 60 and all(r["least"] == 100 + r["ck"] % 3 and r["ck"] < 12 for r in got)
+    assert all(r["stop"] - r["start"] >= substring_dedup.LEAST and r["similarity"] >= 0.8 for r in got)
+
+
+def test_rows_that_tell_a_key_is_shared():
+    rng = np.random.default_rng(10)
+    key, text = rng.integers(0, 60, 500), np.sort(rng.integers(0, 30, 500))
+    known = substring_dedup.known_shared(key, text)
+    for k in range(60):
+        own = text[key == k]
+        left = text[(key == k) & ~known]
+        assert len(left) == len(set(left)) == 2 if len(set(own)) > 1 else len(left) == len(own)
+    assert not len(substring_dedup.known_shared(key[:0], text[:0]))
 
 
 # --- 3 and 5 tokens ---------------------------------------------------------------------------------------------------
