@@ -786,36 +786,67 @@ def test_fuzzy_notices_agree_with_a_whole_search():
 # --- 9 mixing ---------------------------------------------------------------------------------------------------------
 
 
+def expected_shares(spark, rows, target, share):
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, w long")
+    raked = mixing.fitted(df, target, "w", share)
+    got = mixing.calibrated(df, raked, target).toPandas()
+    got["e"] = got["w"] * got["_probability"]
+    assert got["_probability"].between(0, 1).all()
+    return got, {(r["dimension"], r["value"]): r for r in mixing.margins(raked, target).collect()}
+
+
 def test_raking_holds_margins(spark):
     rng = random.Random(9)
     target = {"source": {"a": 1.0, "b": 1.0, "gone": 3.0}, "lang": {"x": 0.7, "y": 0.3}}
     rows = [(n, rng.choice("aaaabz"), rng.choice("xyy"), rng.randrange(1, 50)) for n in range(500)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, w long")
-    got = mixing.calibrated(df, target, "w").toPandas()
-    got["r"] = got["w"] * got["_factor"]
+    got, table = expected_shares(spark, rows, target, 0.2)
     total = got["w"].sum()
-    assert got["r"].sum() == pytest.approx(total)
+    assert got["e"].sum() == pytest.approx(0.2 * total)
+    named = got.groupby("source")["e"].sum()
     rest = got.loc[got.source == "z", "w"].sum()
-    named = got.groupby("source")["r"].sum()
-    assert named["z"] == pytest.approx(rest) and named["a"] == pytest.approx(named["b"]) == pytest.approx((total - rest) / 2)
-    lang = got.groupby("lang")["r"].sum()
-    assert lang["x"] / total == pytest.approx(0.7)
-    assert got["_probability"].between(0, 1).all() and got["_probability"].max() == 1
+    assert named["z"] == pytest.approx(0.2 * rest) and named["a"] == pytest.approx(named["b"]) == pytest.approx(0.1 * (total - rest))
+    lang = got.groupby("lang")["e"].sum()
+    assert lang["x"] / got["e"].sum() == pytest.approx(0.7, abs=5e-4)
+    assert table["source", "*"]["target"] is None and not any(r["whole"] for r in table.values())
+    for (dim, value), r in table.items():
+        if value != "*":
+            assert r["expected"] == pytest.approx(got.loc[got[dim] == value, "e"].sum())
+    with pytest.warns(UserWarning, match="margins miss"):
+        expected_shares(spark, [(0, "a", "x", 10), (1, "b", "y", 10)], {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}, 0.2)
     with pytest.raises(ValueError, match="bound"):
-        mixing.calibrated(df, {c: {str(n): 1.0 for n in range(300)} for c in ("source", "lang")}, "w")
+        mixing.fitted(spark.createDataFrame(rows, "doc_id long, source string, lang string, w long"), {c: {str(n): 1.0 for n in range(300)} for c in ("source", "lang")}, "w")
 
 
-def test_margins_of_the_sample(spark):
-    """A rare source is kept whole and ends below its target; the share missed is that of the uncovered weight at most."""
-    target = {"source": {"a": 24.0, "b": 1.0}, "lang": {"x": 0.7, "y": 0.3}}
-    rows = [(n, "b" if n in (7, 8) else "a", "xyy"[n % 3], 10) for n in range(2000)]
-    got = mixing.calibrated(spark.createDataFrame(rows, "doc_id long, source string, lang string, w long"), target, "w").toPandas()
-    got["e"] = got["w"] * got["_probability"]
+def test_targets_out_of_reach_are_kept_whole_and_named(spark):
+    """Bounds are inside the fit: what a rare source lacks goes to the others of its dimension, other margins hold."""
+    target = {"source": {"a": 12.0, "c": 12.0, "b": 1.0}, "lang": {"x": 0.7, "y": 0.3}}
+    rows = [(n, "b" if n in (7, 8) else "ac"[n % 2], "xyy"[n % 3], 10) for n in range(2000)]
+    got, table = expected_shares(spark, rows, target, 0.25)
     share = got.groupby("source")["e"].sum() / got["e"].sum()
-    assert (got.loc[got.source == "b", "_probability"] == 1).all() and share["b"] < 0.04
-    assert abs(share["b"] - 0.04) <= (1 - mixing.COVERAGE) / mixing.COVERAGE
+    assert (got.loc[got.source == "b", "_probability"] > 1 - 1e-6).all() and share["a"] == pytest.approx(share["c"])
+    assert {v for (d, v), r in table.items() if r["whole"]} == {"b"}
     lang = got.groupby("lang")["e"].sum() / got["e"].sum()
-    assert abs(lang["x"] - 0.7) <= (1 - mixing.COVERAGE) / mixing.COVERAGE
+    assert abs(lang["x"] - 0.7) < 1e-3 and got["e"].sum() == pytest.approx(0.25 * 20_000)
+
+
+def test_mixing_agrees_with_sql(spark):
+    rng = random.Random(15)
+    texts = [prose(rng, rng.randrange(0, 60), 300).replace("w1", "É") for _ in range(400)] + [None, "", " "]
+    d = docs(spark, texts).withColumn("source", F.concat(F.lit("src"), (F.col("doc_id") % 22).cast("string"))).withColumn("lang", F.when(F.col("doc_id") % 7 > 0, F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr"), F.lit("es")), (F.col("doc_id") % 4 + 1).cast("int"))))
+    got = mixing.mix(d)
+    names = ["doc_id", "source", "lang", "topic", "n_tokens", "sampled"]
+    table = pa.Table.from_pandas(d.toPandas(), preserve_index=False)
+    assert collections.Counter(map(tuple, got.select(*names).collect())) == duck(f"SELECT {', '.join(names)} FROM ({mixing.sql()})", documents=table)
+    p = dict(duck(f"SELECT doc_id, probability FROM ({mixing.sql()})", documents=table).keys())
+    assert all(abs(p[r["doc_id"]] - r["probability"]) < 2e-6 for r in got.collect())
+    topics = collections.Counter(r["topic"] for r in got.collect())
+    assert set(topics) == {None, "t0", "t1", "t2", "t3"}
+
+
+def test_missing_ids_are_drawn_by_their_texts(spark):
+    rng = random.Random(16)
+    d = docs(spark, [prose(rng, 20) for _ in range(400)], [None] * 400)
+    assert 50 < sum(r["sampled"] for r in mixing.mix(d, {"lang": {"en": 1.0}}).collect()) < 150
 
 
 def test_mixing_edge_cases(spark):
