@@ -942,3 +942,21 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got)) == expected
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, seen["token_output"].collect()))
+
+
+@needs_ranks
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    texts = [*odd_texts(), *[prose(rng, 80) for _ in range(30)]]
+    rows = extra(docs(spark, texts, [None, None, *range(len(texts) - 2)]))
+    rows = rows.unionByName(rows).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.lit("src1")))
+    for name, d in (("odd", rows), ("none", rows.where("false"))):
+        at = str(tmp_path / name)
+        d.write.parquet(f"{at}/documents.parquet")
+        labels = spark.createDataFrame([(n, n % 2, 0) for n in range(12)], "doc_id long, quality int, toxic int")
+        labels.where("false" if name == "none" else "true").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(0, texts[20]), (1, None), (None, "")], "item_id long, text string").where("false" if name == "none" else "true").write.parquet(f"{at}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, at)
+        assert got.count() == 0 if name == "none" else got.select("slot").distinct().count() == got.count()
