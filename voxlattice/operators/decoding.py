@@ -6,6 +6,7 @@ One feature with ridge is a plan of window sums; everything else runs a group at
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -77,11 +78,17 @@ def variance_above(threshold: float = 0.0) -> Selector:
     return lambda x, y: x.var(0) > threshold
 
 
-def decode(x: np.ndarray, y: np.ndarray, split: np.ndarray, model: Model, selector: Selector | None = None, permutations: int = 0, scale: bool = True, normalise: bool = False, seed: int = 0) -> tuple[np.ndarray, dict]:
+def training_order(names: np.ndarray, perm: int, seed: int = 0) -> np.ndarray:
+    """Permutation `perm` of the rows with these names: by the MD5 of (seed, permutation, name), so every engine has the same."""
+    keys = [hashlib.md5(f"{seed}:{perm}:{n}".encode()).hexdigest() for n in names.tolist()]
+    return np.array(sorted(range(len(keys)), key=lambda r: (keys[r], r)), np.int64)
+
+
+def decode(x: np.ndarray, y: np.ndarray, split: np.ndarray, model: Model, selector: Selector | None = None, permutations: int = 0, scale: bool = True, normalise: bool = False, seed: int = 0, names: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
     """Predictions for every sample by the model fitted on the other splits, and {split: selected features}.
 
-    With permutations, training labels are shuffled (over the whole training set, seeded) and the last axis counts
-    them; selection is made on the true labels. normalise brings each split's predictions to mean 0 and standard
+    With permutations, training labels are shuffled (over the whole training set, see training_order; names are the
+    samples', else their numbers) and the last axis counts them; selection is made on the true labels. normalise brings each split's predictions to mean 0 and standard
     deviation 1 over all elements. A constant feature is scaled by 1; constant predictions normalise to NaN.
     """
     shape = (*y.shape, permutations) if permutations else y.shape
@@ -109,8 +116,8 @@ def decode(x: np.ndarray, y: np.ndarray, split: np.ndarray, model: Model, select
             return p
 
         if permutations:
-            rng = np.random.default_rng([seed, int(np.flatnonzero(test)[0])])
-            out[test] = np.stack([predicted(fit[rng.permutation(len(fit))]) for _ in range(permutations)], -1)
+            own = (np.arange(len(y)) if names is None else names)[~test]
+            out[test] = np.stack([predicted(fit[training_order(own, p, seed)]) for p in range(permutations)], -1)
         else:
             out[test] = predicted(fit)
     return out, selected
@@ -145,7 +152,7 @@ def windows_decoding(features: DataFrame, members: DataFrame, targets: DataFrame
         x, y = np.stack(pdf["x"].to_numpy()).astype(float), np.stack(pdf["ys"].to_numpy()).astype(float)
         flat = y[:, 0] if y.shape[1] == 1 else y
         split = pd.factorize(pdf["split_id"], sort=True)[0]
-        pred, selected = decode(x, flat, split, fn, selector, permutations, scale, normalise, seed)
+        pred, selected = decode(x, flat, split, fn, selector, permutations, scale, normalise, seed, pdf["sample_id"].to_numpy())
         pred = pred.reshape(len(x), y.shape[1], max(1, permutations))
         n, t, p = pred.shape
         return pd.DataFrame(

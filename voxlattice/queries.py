@@ -226,20 +226,59 @@ def maxt_fwer_two_sided(spark, sf_dir):
     return _maxt(spark, sf_dir, "two_sided")
 
 
-@query()
+def _t_of_signs(n_perm: int) -> str:
+    """tp (p, pos, t): t-maps of sign flips; permutation -1 is the map itself."""
+    return f"""ids AS (SELECT DISTINCT img_id FROM v), n AS (SELECT count(*)::DOUBLE AS n FROM ids),
+s AS (SELECT p, img_id, CASE WHEN p < 0 OR substr(md5(concat('0:', p, ':', img_id)), 1, 1) < '8' THEN 1 ELSE -1 END AS s FROM ids, (SELECT unnest(range(-1, {n_perm})) AS p)),
+y AS (SELECT pos, sum(value * value) AS syy FROM v GROUP BY 1),
+tp AS (SELECT p, m.pos, sy / sqrt(n * (syy - sy * sy / n) / (n - 1)) AS t FROM (SELECT p, pos, sum(s * value) AS sy FROM v JOIN s USING (img_id) GROUP BY ALL) m JOIN y USING (pos), n)"""
+
+
+_FACES = "abs(r.pos // 16 - u.pos // 16) + abs(r.pos // 4 % 4 - u.pos // 4 % 4) + abs(r.pos % 4 - u.pos % 4) = 1"
+
+
+def _fwer_of(value: str, n_perm: int) -> str:
+    """The end of a query: t and p of the map itself by the null of the permutations' greatest values (p, pos, value)."""
+    return f"""mx AS (SELECT p, max(value) AS most FROM {value} WHERE p >= 0 GROUP BY 1)
+SELECT (o.pos // 16)::INT AS i, (o.pos // 4 % 4)::INT AS j, (o.pos % 4)::INT AS k, round(o.t, 6) AS t, round((1 + count(*) FILTER (WHERE most >= e.value - 1e-9)) / {n_perm + 1}.0, 6)::DOUBLE AS p
+FROM tp o JOIN {value} e ON o.p = -1 AND e.p = -1 AND o.pos = e.pos, mx GROUP BY o.pos, o.t, e.value"""
+
+
+@query(f"""WITH RECURSIVE {VOX}, {_t_of_signs(20)}, u AS (SELECT p, pos, t > 0 AS up FROM tp WHERE abs(t) >= {critical_value(0.1)!r}),
+r AS (SELECT p, pos AS a, pos, up FROM u UNION SELECT r.p, r.a, u.pos, r.up FROM r JOIN u ON u.p = r.p AND u.up = r.up AND {_FACES}),
+c AS (SELECT p, a AS pos, count(*)::DOUBLE AS value FROM r GROUP BY ALL), e AS (SELECT tp.p, tp.pos, coalesce(value, 0) AS value FROM tp LEFT JOIN c USING (p, pos)), {_fwer_of('e', 20)}""")
 def cluster_size_fwer(spark, sf_dir):
-    return permutation.fwer(voxels(spark, sf_dir), 20, "max_size", "two_sided", cluster_p=0.2)
+    return permutation.fwer(voxels(spark, sf_dir), 20, "max_size", "two_sided", cluster_p=0.2).select("i", "j", "k", r6("t"), r6("p"))
+
 
+def _tfce_sql(n_perm: int, steps: int = 100) -> str:
+    return f"""WITH RECURSIVE {VOX}, {_t_of_signs(n_perm)}, g AS (SELECT p, side, max(side * t) / {steps} AS dh FROM tp, (SELECT unnest([1, -1]) AS side) GROUP BY ALL HAVING max(side * t) > 0),
+u AS (SELECT p, side, h, dh, pos FROM tp JOIN g USING (p), (SELECT unnest(range(1, {steps + 1})) AS h) WHERE side * t >= h * dh - 1e-12),
+r AS (SELECT p, side, h, dh, pos AS a, pos FROM u UNION SELECT r.p, r.side, r.h, r.dh, r.a, u.pos FROM r JOIN u ON u.p = r.p AND u.side = r.side AND u.h = r.h AND {_FACES}),
+c AS (SELECT p, side, h, dh, a, count(*) AS size FROM r GROUP BY ALL), f AS (SELECT p, a AS pos, side, sum(sqrt(size) * (h * dh) * (h * dh) * dh) AS value FROM c GROUP BY ALL),
+e AS (SELECT tp.p, tp.pos, coalesce(max(value), 0) AS value FROM tp LEFT JOIN f USING (p, pos) GROUP BY ALL), {_fwer_of('e', n_perm)}"""
 
-@query()
+
+@query(_tfce_sql(10))
 def tfce_fwer(spark, sf_dir):
-    return permutation.fwer(voxels(spark, sf_dir), 10, "max_tfce", "two_sided")
+    return permutation.fwer(voxels(spark, sf_dir), 10, "max_tfce", "two_sided").select("i", "j", "k", r6("t"), r6("p"))
 
 
-@query()
+@query(f"""WITH {VOX}, ids AS (SELECT DISTINCT img_id, label::DOUBLE AS x FROM v), n AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mx, sum(x * x) - count(*) * avg(x) * avg(x) AS xx FROM ids),
+d AS (SELECT p, img_id, x, row_number() OVER (PARTITION BY p ORDER BY img_id) AS slot, row_number() OVER (PARTITION BY p ORDER BY CASE WHEN p < 0 THEN '' ELSE md5(concat('0:', p, ':', img_id)) END, img_id) AS src FROM ids, (SELECT unnest(range(-1, 50)) AS p)),
+s AS (SELECT a.p, a.img_id, b.x FROM d a JOIN d b ON a.p = b.p AND a.slot = b.src),
+y AS (SELECT pos, sum(value) AS sy, sum(value * value) - sum(value) * sum(value) / count(*) AS yy FROM v GROUP BY 1),
+c AS (SELECT p, pos, sum((x - mx) * value) AS xy FROM v JOIN s USING (img_id), n GROUP BY ALL),
+tp AS (SELECT p, pos, xy / sqrt(xx * greatest(yy - xy * xy / xx, 0) / (n - 2)) AS t FROM c JOIN y USING (pos), n), e AS (SELECT p, pos, abs(t) AS value FROM tp), {_fwer_of('e', 50)}""")
 def covariate_fwer(spark, sf_dir):
     design = volumes.with_intercept(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), "label"), ["label"])
-    return permutation.fwer(voxels(spark, sf_dir).drop("label"), 50, "max_t", "two_sided", design, "label")
+    return permutation.fwer(voxels(spark, sf_dir).drop("label"), 50, "max_t", "two_sided", design, "label").select("i", "j", "k", r6("t"), r6("p"))
+
+
+@query(f"SELECT i, j, k, CASE WHEN p <= 0.2 THEN t ELSE 0 END AS t FROM ({_maxt_sql('abs(t)', 't')})")
+def logp_threshold(spark, sf_dir):
+    found = permutation.fwer(voxels(spark, sf_dir), PERMS, "max_t", "two_sided")
+    return permutation.passed(found, 0.2).select("i", "j", "k", r6("t"))
 
 
 # --- ranks, metrics and their nulls -----------------------------------------------------------------------------------
@@ -276,9 +315,9 @@ def roc_auc_by_window(spark, sf_dir):
 
 
 def _permuted_sql(source: str, n: int) -> str:
-    return f"""b AS ({source}), q AS (SELECT unnest(range(0, {n})) AS perm_id),
-x AS (SELECT perm_id, split_id, sample_id, y, row_number() OVER (PARTITION BY perm_id, split_id ORDER BY sample_id) AS slot, row_number() OVER (PARTITION BY perm_id, split_id ORDER BY md5(concat('0:', perm_id, ':', sample_id)), sample_id) AS src FROM b, q),
-pl AS (SELECT a.perm_id, a.sample_id, c.y FROM x a JOIN x c ON a.perm_id = c.perm_id AND a.split_id = c.split_id AND a.slot = c.src)"""
+    return f"""pb AS ({source}), pq AS (SELECT unnest(range(0, {n})) AS perm_id),
+px AS (SELECT perm_id, split_id, sample_id, y, row_number() OVER (PARTITION BY perm_id, split_id ORDER BY sample_id) AS slot, row_number() OVER (PARTITION BY perm_id, split_id ORDER BY md5(concat('0:', perm_id, ':', sample_id)), sample_id) AS src FROM pb, pq),
+pl AS (SELECT a.perm_id, a.sample_id, c.y FROM px a JOIN px c ON a.perm_id = c.perm_id AND a.split_id = c.split_id AND a.slot = c.src)"""
 
 
 DOC_LABELS = "SELECT doc_id AS sample_id, lang AS split_id, toxic AS y FROM documents JOIN labels USING (doc_id)"
@@ -315,12 +354,25 @@ def windowwise_auc_perm(spark, sf_dir):
     return found.select("window_id", r9("metric"), r9("null_mean"), r9("null_std"), r9("p"))
 
 
-@query()
+@query(f"""WITH {_permuted_sql(DOC_LABELS, 50)}, s AS (SELECT doc_id AS sample_id, toxic AS y, n_chars::DOUBLE AS s FROM documents JOIN labels USING (doc_id)),
+o AS (SELECT corr(y, s) AS score FROM s), a AS (SELECT perm_id, corr(pl.y, s) AS auc FROM pl JOIN s USING (sample_id) GROUP BY 1), w AS (SELECT auc, avg(auc) OVER () AS m, score FROM a, o)
+SELECT round(any_value(score), 9)::DOUBLE AS score, round(avg(auc), 9)::DOUBLE AS null_mean, round(stddev_samp(auc), 9)::DOUBLE AS null_std, round({NULL_SUMMARY}, 9)::DOUBLE AS p FROM w""")
 def callable_metric_test(spark, sf_dir):
     """The generic path: any function of labels and scores."""
     rows = scored(spark, sf_dir)
     corr = lambda y, s: float(np.corrcoef(y, s)[0, 1]) if y.std() and s.std() else float("nan")
-    return metrics.metric_permutation_test(rows, permutation.permuted_labels(rows, 50), corr)
+    return metrics.metric_permutation_test(rows, permutation.permuted_labels(rows, 50), corr).select(r9("score"), r9("null_mean"), r9("null_std"), r9("p"))
+
+
+@query(f"""WITH {VOX}, r AS (SELECT pos AS window_id, (label >= 5)::INT AS y, rank() OVER (PARTITION BY pos ORDER BY value) + (count(*) OVER (PARTITION BY pos, value) - 1) / 2.0 AS rank FROM v),
+s AS (SELECT window_id, count(*) AS n, sum(y)::BIGINT AS n_pos, sum(rank) FILTER (WHERE y = 1)::DOUBLE AS r FROM r GROUP BY 1)
+SELECT window_id, CASE WHEN window_id % 8 = 0 THEN NULL ELSE round((r - n_pos * (n_pos + 1) / 2.0) / (n_pos * (n - n_pos)), 9)::DOUBLE END AS metric FROM s""")
+def windowwise_y_transform(spark, sf_dir):
+    """Targets made binary on the way; windows whose predictions are all equal or all missing have none."""
+    flat = F.when(F.col("window_id") % 16 == 0, F.lit(0.5)).when(F.col("window_id") % 8 == 0, F.lit(None)).otherwise(F.col("score"))
+    pred = by_voxel(spark, sf_dir).select("window_id", "sample_id", flat.alias("y_pred"))
+    found = metrics.windowwise_metric(pred, targets(spark, sf_dir), "roc_auc", y_transform=lambda y: (y >= 5).cast("int"))
+    return found.select("window_id", F.when(~F.isnan("metric"), F.round("metric", 9)).alias("metric"))
 
 
 def _knn(spark, sf_dir, metric: str) -> DataFrame:
@@ -388,10 +440,49 @@ f AS (SELECT a.voxel_id, s.split_id, count(*)::DOUBLE AS n, avg(x) AS mx, avg(y)
 p AS (SELECT x.voxel_id, x.sample_id, x.split_id::INT AS split_id, my + cov / sd / (n + 1.0) * (x - mx) / sd AS y_pred FROM x JOIN f USING (voxel_id, split_id))"""
 
 
-@query("SELECT vec_id % 5 AS fold, sum((s.f <> vec_id % 5)::INT)::BIGINT AS n_other FROM embeddings, (SELECT unnest(range(0, 5)) AS f) s GROUP BY 1")
+FEATURES = f"""{VOX}, x AS (SELECT pos AS a, img_id AS sample_id, (img_id % 5)::INT AS split_id, value AS x, label::DOUBLE AS y FROM v), fold AS (SELECT DISTINCT split_id AS f FROM x)"""
+
+
+def _ridge_sql(members: str, y: str = "y", n_perm: int = 0) -> str:
+    """p (window_id, sample_id, perm_id, y_pred, n_features): ridge on members m (window_id, f, r, a) by normal equations.
+
+    Training sums of a fold are differences of sums; the systems are solved by elimination, one column a step.
+    """
+    labels = f"""lab AS (SELECT DISTINCT sample_id, split_id, {y}::DOUBLE AS y FROM x), q AS (SELECT unnest(range(0, {max(1, n_perm)})) AS q),
+d AS (SELECT q, f, sample_id, y, row_number() OVER (PARTITION BY q, f ORDER BY sample_id) AS slot, row_number() OVER (PARTITION BY q, f ORDER BY {"md5(concat('0:', q, ':', sample_id)), " if n_perm else ""}sample_id) AS src FROM lab, fold, q WHERE split_id <> f),
+ty AS (SELECT d.q, d.f, d.sample_id, e.y FROM d JOIN d e ON d.q = e.q AND d.f = e.f AND d.slot = e.src)"""
+    return f"""{labels}, mean AS (SELECT f, avg(y) AS my FROM ty WHERE q = 0 GROUP BY 1),
+one AS (SELECT f, a, count(*)::DOUBLE AS n, avg(x) AS mx, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM x, fold WHERE split_id <> f GROUP BY ALL),
+pp AS (SELECT b.split_id, b.a, c.a AS b, sum(b.x * c.x) AS s FROM x b JOIN x c USING (sample_id) GROUP BY ALL),
+gram AS (SELECT g.f, g.a, g.b, (g.s - p.n * p.mx * r.mx) / (p.sd * r.sd) AS g FROM (SELECT f, a, b, sum(s) AS s FROM pp, fold WHERE split_id <> f GROUP BY ALL) g JOIN one p ON p.f = g.f AND p.a = g.a JOIN one r ON r.f = g.f AND r.a = g.b),
+side AS (SELECT o.f, o.a, list((s - n * mx * my) / sd ORDER BY q) AS rhs FROM (SELECT ty.f, ty.q, x.a, sum(x.x * ty.y) AS s FROM x JOIN ty USING (sample_id) GROUP BY ALL) z JOIN one o USING (f, a) JOIN mean USING (f) GROUP BY ALL),
+m AS ({members}),
+line AS (SELECT b.window_id, b.f, b.r, list(g + CASE WHEN b.r = c.r THEN 1e0 ELSE 0e0 END ORDER BY c.r) AS row FROM m b JOIN m c ON b.window_id = c.window_id AND b.f = c.f JOIN gram ON gram.f = b.f AND gram.a = b.a AND gram.b = c.a GROUP BY ALL),
+mat AS (SELECT line.window_id, line.f, list(row || rhs ORDER BY line.r) AS w, count(*) AS n FROM line JOIN m USING (window_id, f, r) JOIN side ON side.f = m.f AND side.a = m.a GROUP BY ALL),
+el AS (SELECT window_id, f, n, 0::BIGINT AS k, w FROM mat UNION ALL
+  SELECT window_id, f, n, k + 1, list_transform(w, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / row[k + 1]) ELSE list_transform(row, lambda v, j: v - row[k + 1] * w[k + 1][j] / w[k + 1][k + 1]) END) FROM el WHERE k < n),
+beta AS (SELECT m.window_id, m.f, m.a, n, q, w[r + 1][n + 1 + q] AS b FROM el JOIN m USING (window_id, f), q WHERE k = n),
+p AS (SELECT beta.window_id, x.sample_id, q AS perm_id, any_value(my) + sum(b * (x.x - mx) / sd) AS y_pred, any_value(beta.n)::INT AS n_features FROM beta JOIN x ON x.split_id = beta.f AND x.a = beta.a JOIN one ON one.f = beta.f AND one.a = beta.a JOIN mean ON mean.f = beta.f GROUP BY ALL)"""
+
+
+ALL_FEATURES = "SELECT 0 AS window_id, f, a AS r, a FROM (SELECT DISTINCT a FROM x), fold"
+NEAR = "SELECT c.a AS window_id, f, row_number() OVER (PARTITION BY c.a, f ORDER BY g.a) - 1 AS r, g.a FROM (SELECT DISTINCT a FROM x) c JOIN (SELECT DISTINCT a FROM x) g ON abs(g.a // 16 - c.a // 16) <= 1 AND abs(g.a // 4 % 4 - c.a // 4 % 4) <= 1 AND abs(g.a % 4 - c.a % 4) <= 1, fold"
+BEST = """SELECT 0 AS window_id, f, row_number() OVER (PARTITION BY f ORDER BY a) - 1 AS r, a FROM (
+  SELECT f, a, row_number() OVER (PARTITION BY f ORDER BY abs(corr(x, y)) DESC, a) AS place FROM x, fold WHERE split_id <> f GROUP BY f, a) WHERE place <= 8"""
+
+
+@query("SELECT f::BIGINT AS fold, count(*) FILTER (WHERE vec_id % 5 <> f) AS n_train, count(*) FILTER (WHERE vec_id % 5 = f) AS n_test FROM embeddings, (SELECT unnest(range(0, 5)) AS f) GROUP BY 1")
 def loso_folds(spark, sf_dir):
-    t = targets(spark, sf_dir)
-    return t.groupBy(F.col("split_id").cast("long").alias("fold")).agg((F.count(F.lit(1)) * 4).alias("n_other"))
+    """Sizes of the training and test sets that the decoder really sees: a model that answers with the size of what it was fitted on."""
+    size = lambda x, y, test: np.full(len(test), float(len(x)))
+    one = features(spark, sf_dir).where("voxel_id = 0")
+    seen = decoding.leave_one_split_out(one, targets(spark, sf_dir), size)
+    return seen.join(targets(spark, sf_dir).select("sample_id", "split_id"), "sample_id").groupBy(F.col("split_id").cast("long").alias("fold")).agg(F.max("y_pred").cast("long").alias("n_train"), F.count(F.lit(1)).alias("n_test"))
+
+
+@query(f"WITH RECURSIVE {FEATURES}, {_ridge_sql(ALL_FEATURES)} SELECT sample_id, round(y_pred, 6) AS y_pred, n_features FROM p")
+def loso_ridge(spark, sf_dir):
+    return decoding.leave_one_split_out(features(spark, sf_dir), targets(spark, sf_dir)).select("sample_id", r6("y_pred"), "n_features")
 
 
 @query(f"WITH {FOLDS} SELECT voxel_id, sample_id, split_id, round(y_pred, 6) AS y_pred FROM p")
@@ -410,28 +501,36 @@ def searchlight_ridge_r0(spark, sf_dir):
     return pred.select("window_id", "sample_id", r6("y_pred"))
 
 
-@query()
+@query(f"WITH RECURSIVE {FEATURES}, {_ridge_sql(NEAR)} SELECT window_id, sample_id, round(y_pred, 6) AS y_pred, n_features FROM p")
 def searchlight_ridge_r1(spark, sf_dir):
     pred, _ = searchlight_maps.searchlight_predictions(features(spark, sf_dir), full_mask(spark), targets(spark, sf_dir), 1)
     return pred.select("window_id", "sample_id", r6("y_pred"), "n_features")
 
 
-@query()
+@query(f"WITH RECURSIVE {FEATURES}, {_ridge_sql(BEST)} SELECT sample_id, round(y_pred, 6) AS y_pred, 64::INT AS n_features, n_features AS n_selected FROM p")
 def loso_k_best(spark, sf_dir):
     return decoding.leave_one_split_out(features(spark, sf_dir), targets(spark, sf_dir), selector=decoding.k_best(8)).select("sample_id", r6("y_pred"), "n_features", "n_selected")
 
 
-@query()
+@query(f"WITH RECURSIVE {FEATURES}, {_ridge_sql(ALL_FEATURES, 'y', 5)} SELECT sample_id, perm_id::INT AS perm_id, round(y_pred, 6) AS y_pred FROM p")
 def loso_permuted_training(spark, sf_dir):
     return decoding.leave_one_split_out(features(spark, sf_dir), targets(spark, sf_dir), permutations=5).select("sample_id", "perm_id", r6("y_pred"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FEATURES}, {_ridge_sql(NEAR, '(y >= 5)::INT')}, {_permuted_sql(EMB_LABELS, 10)},
+r AS (SELECT window_id, sample_id, b.y, (rank() OVER (PARTITION BY window_id ORDER BY y_pred) + (count(*) OVER (PARTITION BY window_id, y_pred) - 1) / 2.0)::DOUBLE AS rank FROM p JOIN pb b USING (sample_id)),
+o AS (SELECT window_id, (sum(rank) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS score FROM r GROUP BY 1),
+nul AS (SELECT window_id, perm_id, (sum(rank) FILTER (WHERE pl.y = 1) - sum(pl.y) * (sum(pl.y) + 1) / 2.0) / (sum(pl.y) * (count(*) - sum(pl.y))) AS auc FROM pl JOIN r USING (sample_id) GROUP BY ALL),
+z AS (SELECT window_id, auc, avg(auc) OVER (PARTITION BY window_id) AS m, score FROM nul JOIN o USING (window_id)),
+t AS (SELECT window_id, any_value(score)::DOUBLE AS auc, avg(auc)::DOUBLE AS auc_null_mean, stddev_samp(auc)::DOUBLE AS auc_null_std, ({NULL_SUMMARY})::DOUBLE AS auc_p FROM z GROUP BY 1)
+SELECT suffix, (window_id // 16)::INT AS i, (window_id // 4 % 4)::INT AS j, (window_id % 4)::INT AS k, round(value::FLOAT::DOUBLE, 5) AS value FROM (UNPIVOT t ON auc, auc_null_mean, auc_null_std, auc_p INTO NAME suffix VALUE value)""")
 def searchlight_metric_maps(spark, sf_dir):
+    """All maps but that of z, whose quantile SQL does not have; it is a function of p and the score."""
     t = binary(targets(spark, sf_dir))
     mask = full_mask(spark)
     pred, centres = searchlight_maps.searchlight_predictions(features(spark, sf_dir), mask, t, 1, 1)
-    return searchlight_maps.metric_maps(pred, centres, mask, t, "roc_auc", "auc", 1, 10)
+    maps = searchlight_maps.metric_maps(pred, centres, mask, t, "roc_auc", "auc", 1, 10)
+    return maps.where("suffix <> 'auc_z'").select("suffix", "i", "j", "k", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 # --- grids ------------------------------------------------------------------------------------------------------------
