@@ -291,3 +291,50 @@ def test_warp_to_template(spark, tmp_path):
     (anat / "sub-1_from-T1w_to-MNI152NLin2009cAsym_mode-image_xfm.h5").touch()
     with pytest.raises(NotImplementedError):
         warp_to_template(spark, str(tmp_path / "in.nii"), str(tmp_path / "sub-1"), str(tmp_path / "w" / "out2.nii.gz"))
+
+
+def test_volumes_are_written_through_the_file_system_of_the_path(monkeypatch):
+    from pyarrow import fs
+
+    from voxlattice.sources import paths
+
+    stub = fs._MockFileSystem()
+    monkeypatch.setattr(paths, "filesystem", lambda p: (stub, p.removeprefix("stub://")) if p.startswith("stub://") else (fs.LocalFileSystem(), p))
+    writer = nifti.NiftiWriter({"path": "stub://bucket/out/", "shape": "2,2,2"}, False)
+    done = writer.write([{"img_id": "a", "i": 0, "j": 1, "k": 1, "value": 5.0}])
+    assert done.files == ["stub://bucket/out/a.nii.gz"] and nifti.list_files("stub://bucket/out") == done.files
+    assert nifti.read_volume(done.files[0])[1][0, 1, 1] == 5 and nifti.read_header(done.files[0]).shape == (2, 2, 2)
+    assert not os.path.exists("stub:")
+    writer.abort([done])
+    assert not paths.exists(done.files[0]) and paths.is_folder("stub://bucket/out")
+
+
+def test_no_local_folder_on_a_cluster():
+    from voxlattice.sources.shared import shared_folder
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(Session(), "x")
+
+
+def test_thresholds_look_at_the_mask_or_at_all(spark, study, tmp_path):
+    root, _ = study
+    heights = {}
+    for use in (True, False):
+        s = Settings(mask=str(root / "mask" / "mask.nii"), cluster_threshold=0, height_control="bonferroni", alpha=0.2, use_mask_in_thresholding=use)
+        out = group_analysis(spark, str(root), str(tmp_path / str(use)), s).first()
+        t, kept = nifti.read_volume(out["t_unc_path"])[1], nifti.read_volume(out["thresholded_gt_path"])[1]
+        heights[use] = (kept > 0).sum()
+        inside = nifti.read_volume(str(root / "mask" / "mask.nii"))[1] > 0
+        n = inside.sum() if use else inside.size
+        from voxlattice.functions.normal import critical_value
+
+        assert (kept > 0).sum() == (t > critical_value(0.2 / n)).sum()

@@ -7,6 +7,7 @@ One feature with ridge is a plan of window sums; everything else runs a group at
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -137,6 +138,7 @@ def windows_decoding(features: DataFrame, members: DataFrame, targets: DataFrame
     NaN for every sample. Only windows x samples x members rows are shuffled; the labels are sent around if small.
     """
     fn = MODELS[model](**(model_params or {})) if isinstance(model, str) else model
+    _warn_of_members(features, members)
     targets = targets if "target_id" in targets.columns else targets.withColumn("target_id", F.lit(0))
     n_labels = targets.count()
     # A row a sample and target; sent around only while small.
@@ -176,6 +178,19 @@ def windows_decoding(features: DataFrame, members: DataFrame, targets: DataFrame
     return found.unionByName(blank)
 
 
+def _warn_of_members(features: DataFrame, members: DataFrame) -> None:
+    """Warnings for voxel ids without features and for windows that are left empty: three numbers, one row."""
+    known = features.select(F.col("voxel_id").alias("_known")).distinct()
+    seen = members.join(known, members["voxel_id"] == known["_known"], "left")
+    bad = F.col("voxel_id").isNotNull() & F.col("_known").isNull()
+    per_window = seen.groupBy("window_id").agg(F.count_if(bad).alias("bad"), F.max(F.when(bad, F.col("voxel_id"))).alias("most"), F.count("_known").alias("good"))
+    row = per_window.agg(F.sum("bad").alias("bad"), F.max("most").alias("most"), F.count_if(F.col("good") == 0).alias("empty")).first()
+    if row["bad"]:
+        warnings.warn(f"{row['bad']} members of windows name voxels without features (the largest is {row['most']}); they are dropped", stacklevel=3)
+    if row["empty"]:
+        warnings.warn(f"{row['empty']} windows are empty; their predictions are NaN", stacklevel=3)
+
+
 def one_feature_ridge(features: DataFrame, targets: DataFrame, alpha: float = 1.0, scale: bool = True, normalise: bool = False) -> DataFrame:
     """Ridge on each feature by itself, as sums only: voxel_id, sample_id, split_id, y_pred.
 

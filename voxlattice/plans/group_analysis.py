@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import warnings
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
@@ -18,6 +17,7 @@ from ..operators.grid import Grid, resampled, smoothed
 from ..operators.permutation import fwer, passed
 from ..operators.threshold import thresholded
 from ..operators.volumes import ols, validity_mask, with_intercept
+from ..sources import paths as files
 from ..sources.design import checked_paths, read_design, with_image_ids
 from ..sources.nifti import headers, image_id, read_header, read_volumes, write_volumes
 
@@ -106,14 +106,13 @@ def group_analysis(spark: SparkSession, maps, out_dir: str | None = None, settin
     paths = checked_paths(design)
     covariates = [c for c in design.columns if c not in ("path", "row_id")]
     group_dir = out_dir or (f"{folder.rstrip('/')}/group" if folder else str(Path.cwd() / "group"))
-    os.makedirs(group_dir, exist_ok=True)
+    files.make_folder(group_dir)
     args_path, ident = f"{group_dir}/args.json", run_id(paths, settings)
-    known = json.load(open(args_path)).get("run_id") if os.path.exists(args_path) else None
+    known = json.loads(files.read_bytes(args_path)).get("run_id") if files.exists(args_path) else None
     reuse = known == ident and not settings.overwrite
     if not reuse:
         shown = asdict(settings) | {"maps": folder or "table", "out_dir": group_dir, "n_maps": len(paths), "covariates": covariates, "run_id": ident}
-        with open(args_path, "w", encoding="utf-8") as f:
-            json.dump(shown, f, indent=2)
+        files.write_bytes(args_path, json.dumps(shown, indent=2).encode())
 
     first = read_header(paths[0])
     shapes = headers(spark, paths).groupBy(F.col("shape").cast("string").alias("shape")).agg(F.min("path").alias("path"), F.count_distinct(F.col("affine").cast("string")).alias("affines")).collect()
@@ -127,7 +126,7 @@ def group_analysis(spark: SparkSession, maps, out_dir: str | None = None, settin
     if "template" in settings.templates:
         # The background for plots, kept with the results.
         shown_on = f"{group_dir}/mni152_template_T1w.nii.gz"
-        if not os.path.exists(shown_on):
+        if not files.exists(shown_on):
             h = read_header(settings.templates["template"])
             write_volumes(read_volumes(spark, settings.templates["template"]).withColumn("img_id", F.lit(image_id(shown_on))), group_dir, h.shape, h.affine)
 
@@ -140,6 +139,8 @@ def group_analysis(spark: SparkSession, maps, out_dir: str | None = None, settin
         # Spread is judged on the volumes as they are, before transformation and smoothing.
         mask = validity_mask(voxels, settings.min_std, settings.min_images or len(paths), resolved.where("in_mask"))
     inside = mask.where("in_mask").select("i", "j", "k").persist()
+    # Voxels that are tested: of the resolved mask, or all; those without a statistic count as zero.
+    tested = resolved.where("in_mask").select("i", "j", "k") if settings.use_mask_in_thresholding else grid.cells(spark)
     values = voxels.withColumn("value", transformed(F.col("value"), settings.transformation))
     if settings.smoothing_fwhm:
         values = smoothed(values, grid, settings.smoothing_fwhm)
@@ -151,7 +152,7 @@ def group_analysis(spark: SparkSession, maps, out_dir: str | None = None, settin
         where = f"{group_dir}/{r}" if covariates else group_dir
         names = {"unc": f"tmap_unc{transformation_tag(settings.transformation)}"} | {tail: settings.stem + suffix for tail, suffix in TAILS.items()}
         target = {k: f"{where}/{v}.nii.gz" for k, v in names.items()}
-        if not (reuse and all(os.path.exists(p) for p in target.values())):
+        if not (reuse and all(files.exists(p) for p in target.values())):
             t = fitted.select("i", "j", "k", F.col(f"t_{r}").alias("stat"))
             save = lambda rows, name, to=where: write_volumes(rows.withColumn("img_id", F.lit(name)).select("img_id", "i", "j", "k", "value"), to, grid.shape, grid.matrix, 0.0)
             save(t.select("i", "j", "k", F.nanvl("stat", F.lit(0.0)).alias("value")), names["unc"])
@@ -159,17 +160,17 @@ def group_analysis(spark: SparkSession, maps, out_dir: str | None = None, settin
             if settings.min_std is not None:
                 save(mask.select("i", "j", "k", F.col("in_mask").cast("double").alias("value")), "analysis_mask_validity_std", f"{where}/masks")
             for tail in TAILS:
-                save(_tail(t, values, design, r, tail, settings, where, save), names[tail])
+                save(_tail(t, values, design, r, tail, settings, where, save, tested), names[tail])
         out.append((r, where, shown_on, target["unc"], target["two_sided"], target["gt"], target["lt"], paths))
     for df in (fitted, values, inside):
         df.unpersist()
     return spark.createDataFrame(out, "regressor string, group_dir string, template_image_path string, t_unc_path string, thresholded_two_sided_path string, thresholded_gt_path string, thresholded_lt_path string, used_map_paths array<string>")
 
 
-def _tail(t: DataFrame, values: DataFrame, design: DataFrame, regressor: str, tail: str, s: Settings, where: str, save) -> DataFrame:
+def _tail(t: DataFrame, values: DataFrame, design: DataFrame, regressor: str, tail: str, s: Settings, where: str, save, tested: DataFrame) -> DataFrame:
     """i, j, k, value of one thresholded map; positive in the direction of lt."""
     if s.inference == "parametric":
-        named = t.withColumn("map_id", F.lit(tail))
+        named = tested.join(t, ["i", "j", "k"], "left").select(F.lit(tail).alias("map_id"), "i", "j", "k", F.coalesce("stat", F.lit(0.0)).alias("stat"))
         kept = thresholded(named, s.alpha, s.height_control, s.cluster_threshold, tail == "two_sided", s.threshold, -1 if tail == "lt" else 1)
         return kept.select("i", "j", "k", masked(F.col("stat"), F.lit(True)).alias("value"))
     statistic = "max_tfce" if s.tfce else "max_size" if s.cluster_p is not None else "max_t"

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import Grid, interpolation, resampled, zoom_tag
+from ..sources import paths as files
 from ..sources.design import find_transform
 from ..sources.nifti import image_id, read_header, read_volumes, write_volumes
 
@@ -48,7 +49,7 @@ def warp_to_template(spark: SparkSession, in_path: str, subject_dir: str, out_pa
     target = full.with_spacing(size)
     folder = os.path.dirname(os.path.abspath(out_path))
     cached = f"ref_MNI_{zoom_tag(size)}mm"
-    if not os.path.exists(f"{folder}/{cached}.nii.gz"):
+    if not files.exists(f"{folder}/{cached}.nii.gz"):
         small = resampled(read_volumes(spark, reference), full, target, "linear").withColumn("img_id", F.lit(cached))
         write_volumes(small, folder, target.shape, target.matrix)
     if field is not None and target != full:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import os
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -11,9 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import paths as files
 from .nifti import image_id, list_files
 
 DELIMITERS = ",;\t|"
+#: Design rows that are sent to every task at most.
+MOST_BROADCAST = 200_000
 
 
 def normalised(name: object) -> str:
@@ -21,8 +23,7 @@ def normalised(name: object) -> str:
 
 
 def sniff_delimiter(path: str) -> str:
-    with open(path, encoding="utf-8-sig", newline="") as f:
-        head = "".join(line for _, line in zip(range(20), f))
+    head = "".join(files.read_bytes(path, 1 << 16).decode("utf-8-sig", "replace").splitlines(True)[:20])
     try:
         return csv.Sniffer().sniff(head, DELIMITERS).delimiter
     except csv.Error:
@@ -41,8 +42,9 @@ def with_path_column(df: DataFrame) -> DataFrame:
         lower = {c.lower(): c for c in names}
         found = lower.get("path", lower.get("map_path"))
         if found is None:
-            if len(names) == 1 and any(d in names[0] for d in ",;\t"):
-                raise ValueError(f"no path column; the only column is {names[0]!r}, so the delimiter seems to be another one. Save the table as CSV with a header that has a path column")
+            other = [d for d in DELIMITERS if any(normalised(x).lower() in ("path", "map_path") for x in names[0].split(d))] if len(names) == 1 else []
+            if other:
+                raise ValueError(f"the table was read as one column, {names[0]!r}; its columns seem to be parted by {other[0]!r}")
             raise ValueError(f"a design needs a path (or map_path) column; columns are {names}")
         df = df.withColumnRenamed(found, "path")
     return df.withColumn("path", F.col("path").cast("string"))
@@ -55,11 +57,11 @@ def read_design(spark: SparkSession, maps: str | Path | pd.DataFrame | DataFrame
         df = maps
     elif isinstance(maps, pd.DataFrame):
         df = spark.createDataFrame(maps.rename(columns=normalised))
-    elif isinstance(maps, (str, Path)) and os.path.isdir(str(maps)):
+    elif isinstance(maps, (str, Path)) and files.is_folder(str(maps)):
         folder = str(maps)
         df = spark.createDataFrame([(p,) for p in list_files(folder)], "path string")
     elif isinstance(maps, (str, Path)) and str(maps).lower().endswith((".csv", ".tsv")):
-        if not os.path.isfile(str(maps)):
+        if not files.exists(str(maps)):
             raise FileNotFoundError(f"no design table at {maps}")
         sep = sniff_delimiter(str(maps))
         df = spark.read.csv(str(maps), header=True, sep=sep, inferSchema=True)
@@ -80,7 +82,7 @@ def checked_paths(design: DataFrame) -> list[str]:
         raise ValueError("no volumes are given")
     if len(paths) < 2:
         raise ValueError(f"a group model needs two volumes at least; got {len(paths)}")
-    missing = [p for p in paths if "://" not in p and not os.path.exists(p)]
+    missing = [p for p in paths if not files.exists(p)]
     if missing:
         raise FileNotFoundError(f"some volumes do not exist (up to 5 shown): {missing[:5]}")
     return paths
@@ -113,4 +115,5 @@ def with_image_ids(design: DataFrame) -> DataFrame:
     ids = [image_id(p) for p in paths]
     ids = paths if len(set(ids)) < len(ids) else ids
     names = design.sparkSession.createDataFrame(list(dict(zip(paths, ids)).items()), "path string, img_id string")
-    return design.join(F.broadcast(names), "path")
+    # A row an image; sent around only while that is small.
+    return design.join(F.broadcast(names) if len(paths) <= MOST_BROADCAST else names, "path")

@@ -7,11 +7,9 @@ geometry only. The writer gives each map to one file, which appears under its na
 from __future__ import annotations
 
 import gzip
-import os
 import posixpath
 import re
 import struct
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from . import paths
+
 SCHEMA = "img_id string, i int, j int, k int, value double"
 HEADER_SCHEMA = "img_id string, path string, shape array<int>, zooms array<double>, affine array<array<double>>, dtype string"
 HEADER_BYTES = 352
@@ -87,16 +87,8 @@ def _quaternion_affine(q: tuple[float, ...], pixdim: tuple[float, ...]) -> np.nd
     return out
 
 
-def _open(path: str, mode: str):
-    if re.match(r"\w+://", path) and not path.startswith("file:"):
-        filesystem, inner = fs.FileSystem.from_uri(path)
-        return filesystem.open_input_stream(inner, compression=None) if mode == "r" else filesystem.open_output_stream(inner, compression=None)
-    return open(re.sub(r"^file:/*", "/", path), mode + "b")
-
-
 def read_volume(path: str) -> tuple[Header, np.ndarray]:
-    with _open(path, "r") as f:
-        raw = f.read()
+    raw = paths.read_bytes(path)
     raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     h = parse_header(raw)
     n = int(np.prod(h.shape))
@@ -105,11 +97,8 @@ def read_volume(path: str) -> tuple[Header, np.ndarray]:
 
 
 def read_header(path: str) -> Header:
-    with _open(path, "r") as f:
-        head = f.read(2)
-        rest = f.read(HEADER_BYTES * 4)
-    raw = head + rest
-    if head == b"\x1f\x8b":
+    raw = paths.read_bytes(path, HEADER_BYTES * 4)
+    if raw[:2] == b"\x1f\x8b":
         import zlib
 
         raw = zlib.decompressobj(31).decompress(raw, HEADER_BYTES)
@@ -142,18 +131,12 @@ def image_id(path: str) -> str:
 
 def list_files(path: str) -> list[str]:
     """The NIfTI files of a folder, sorted by name, subfolders left out; or the file itself."""
-    local = re.sub(r"^file:/*", "/", path)
-    if re.match(r"\w+://", path) and not path.startswith("file:"):
-        filesystem, inner = fs.FileSystem.from_uri(path)
-        info = filesystem.get_file_info(inner)
-        if info.type == fs.FileType.File:
-            return [path]
-        found = filesystem.get_file_info(fs.FileSelector(inner))
-        base = path.rstrip("/")
-        return sorted(f"{base}/{x.base_name}" for x in found if x.type == fs.FileType.File and is_nifti(x.base_name))
-    if os.path.isfile(local):
-        return [local]
-    return sorted(e.path for e in os.scandir(local) if e.is_file() and is_nifti(e.name))
+    where, inner = paths.filesystem(path)
+    if where.get_file_info(inner).type == fs.FileType.File:
+        return [path if "://" in path and not path.startswith("file:") else inner]
+    base = path.rstrip("/") if "://" in path and not path.startswith("file:") else inner.rstrip("/")
+    found = where.get_file_info(fs.FileSelector(inner))
+    return sorted(f"{base}/{x.base_name}" for x in found if x.type == fs.FileType.File and is_nifti(x.base_name))
 
 
 @dataclass
@@ -167,10 +150,10 @@ class FilePartition(InputPartition):
 
 class NiftiReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        paths = [p for p in str(options.get("paths") or options.get("path") or "").split(",") if p]
-        if not paths:
+        asked = [p for p in str(options.get("paths") or options.get("path") or "").split(",") if p]
+        if not asked:
             raise ValueError("give a path, or paths separated by commas")
-        self.files = [f for p in paths for f in list_files(p)]
+        self.files = [f for p in asked for f in list_files(p)]
         ids = [image_id(f) for f in self.files]
         full = len(set(ids)) < len(ids)
         self.ids = self.files if full else ids
@@ -200,7 +183,7 @@ class NiftiWriter(DataSourceWriter):
     """Writes rows (img_id, i, j, k, value); all rows of an image must be in one partition (see write_volumes)."""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path = re.sub(r"^file:/*", "/", options["path"])
+        self.path = options["path"].rstrip("/")
         self.shape = tuple(int(x) for x in options["shape"].split(","))
         self.affine = np.array([float(x) for x in options.get("affine", "1,0,0,0,0,1,0,0,0,0,1,0,0,0,0,1").split(",")]).reshape(4, 4)
         self.fill = float(options.get("fill", "nan"))
@@ -208,15 +191,11 @@ class NiftiWriter(DataSourceWriter):
         self.overwrite = overwrite
 
     def write(self, rows) -> Written:
-        os.makedirs(self.path, exist_ok=True)
         done, name, data = [], None, None
 
         def close():
             target = f"{self.path}/{name}.nii.gz"
-            part = f"{target}.{uuid.uuid4().hex}.part"
-            with open(part, "wb") as f:
-                f.write(gzip.compress(volume_bytes(data, self.affine, self.dtype), mtime=0))
-            os.replace(part, target)
+            paths.write_bytes(target, gzip.compress(volume_bytes(data, self.affine, self.dtype), mtime=0))
             done.append(target)
 
         for r in rows:
@@ -235,8 +214,7 @@ class NiftiWriter(DataSourceWriter):
     def abort(self, messages) -> None:
         for m in messages:
             for f in getattr(m, "files", None) or []:
-                if os.path.exists(f):
-                    os.remove(f)
+                paths.remove(f)
 
 
 class NiftiDataSource(DataSource):
@@ -258,12 +236,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(NiftiDataSource)
 
 
-def read_volumes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_volumes(spark: SparkSession, files: str | list[str]) -> DataFrame:
     register(spark)
-    return spark.read.format("nifti").option("paths", paths if isinstance(paths, str) else ",".join(paths)).load()
+    return spark.read.format("nifti").option("paths", files if isinstance(files, str) else ",".join(files)).load()
 
 
-def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+def headers(spark: SparkSession, files: list[str]) -> DataFrame:
     """HEADER_SCHEMA: the geometry of each file, read where the task runs; only the first bytes are touched."""
 
     def run(batches):
@@ -273,7 +251,7 @@ def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"img_id": image_id(p), "path": p, "shape": list(h.shape), "zooms": list(h.zooms), "affine": h.affine.tolist(), "dtype": h.dtype}], pa.schema([("img_id", pa.string()), ("path", pa.string()), ("shape", pa.list_(pa.int32())), ("zooms", pa.list_(pa.float64())), ("affine", pa.list_(pa.list_(pa.float64()))), ("dtype", pa.string())]))
 
     wrapped = lambda it: run({"path": b.column(0).to_pylist()} for b in it)
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 256))).mapInArrow(wrapped, HEADER_SCHEMA)
+    return spark.createDataFrame([(p,) for p in files], "path string").repartition(max(1, min(len(files), 256))).mapInArrow(wrapped, HEADER_SCHEMA)
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -286,7 +264,7 @@ def write_volumes(rows: DataFrame, path: str, shape: tuple[int, int, int], affin
     """One file img_id.nii.gz an image. mode "ignore" leaves images that exist alone; "overwrite" and "append" replace."""
     register(rows.sparkSession)
     if mode == "ignore":
-        there = [image_id(f) for f in list_files(path)] if os.path.isdir(re.sub(r"^file:/*", "/", path)) else []
+        there = [image_id(f) for f in list_files(path)] if paths.is_folder(path) else []
         rows = rows.where(~F.col("img_id").isin(there)) if there else rows
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("img_id", "i", "j", "k", F.col("value").cast("double")).repartition(n, "img_id").sortWithinPartitions("img_id")

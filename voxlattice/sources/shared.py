@@ -12,10 +12,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A path under the folder that the cluster names in spark.checkpoint.dir; without one, a temporary local folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """A path under the folder that the cluster names in spark.checkpoint.dir; in local mode without one, a temporary folder."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base:
         return f"{re.sub(r'^file:/+', '/', base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix=f"voxlattice-{name}-")
     atexit.register(shutil.rmtree, own, True)
     return own
