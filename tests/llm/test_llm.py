@@ -910,6 +910,33 @@ def test_files_appear_whole(tmp_path):
         assert f.read() == b"xyz"
 
 
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        store.shared_dir(Session())
+
+
+def test_rows_are_located_whatever_the_scan(spark, tmp_path):
+    d = docs(spark, [f"t{n}" for n in range(50)])
+    d.repartition(2).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    for source in (d, read, read.where("doc_id < 40"), read.unionByName(read), read.withColumn("_metadata", F.lit(1))):
+        got = store.located(source, "doc_id")
+        assert got.count() == source.count() == got.select("_file", "_row").distinct().count()
+    kept = store.written(d, "kept")
+    store.discard(kept)
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|not found|No such"):
+        spark.read.parquet(kept._voxlattice_path).count()
+
+
 @needs_ranks
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     import corpus_pipeline
