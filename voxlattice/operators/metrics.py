@@ -145,7 +145,7 @@ def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
     return F.sqrt(squared) if metric == "euclidean" else squared
 
 
-def top_k_accuracy(candidates: DataFrame, queries: DataFrame, k: int | list[int], metric: str = "euclidean", block: int = 1024, most_broadcast: int = 64 << 20) -> DataFrame:
+def top_k_accuracy(candidates: DataFrame, queries: DataFrame, k: int | list[int], metric: str = "euclidean", block: int = 1024) -> DataFrame:
     """k, accuracy, in the order given: how often the true candidate is among the k nearest of a query.
 
     candidates has row_pos and vec, queries query_id, true_pos and vec. Ties go to the lowest row_pos. The queries are

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elementwise import finite_or_null, or_nan
 from ..functions.normal import critical_value
-from .threshold import cluster_sizes, tfce
+from .threshold import label_faces, tfce
 
 #: Bytes of signs or orders that may be sent to every task.
 MOST_BYTES = 256 << 20
@@ -146,8 +146,6 @@ def fwer(voxels: DataFrame, n_perm: int = 10_000, statistic: str = "max_t", tail
             for s in (1.0, -1.0) if both else (1.0,):
                 up = s * t >= height
                 if up.any():
-                    from .threshold import label_faces
-
                     own = label_faces(cells[up])
                     out[up] = np.bincount(own, minlength=len(own))[own]
             return out

@@ -6,8 +6,6 @@ volume, and maps spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -113,12 +111,6 @@ def clusters(passed: DataFrame, key: str = "map_id") -> DataFrame:
     return signed.groupBy(key, "_positive").applyInPandas(label, f"`{key}` {kind}, i int, j int, k int, stat double, cluster string, size long")
 
 
-def cluster_sizes(t: np.ndarray, cells: np.ndarray, height: float) -> Iterable[int]:
-    """Sizes of the clusters of values at or above height."""
-    up = t >= height
-    return np.bincount(label_faces(cells[up])) if up.any() else np.zeros(1, np.int64)
-
-
 def tfce(t: np.ndarray, cells: np.ndarray, steps: int = 100) -> np.ndarray:
     """Threshold-free cluster enhancement of the positive values: sum over heights h of extent**0.5 * h**2 * dh."""
     out = np.zeros(len(t))

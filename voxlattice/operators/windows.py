@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.elementwise import NAN, or_nan
 
+#: Names of maps that are sent to every task at most.
+MOST_NAMES = 10_000
+
 
 def voxel_ids(mask: DataFrame) -> DataFrame:
     """voxel_id, i, j, k of a mask's voxels: numbers from 0 in C order.
@@ -58,8 +61,12 @@ def reconstruct(mask: DataFrame, centres: DataFrame, stride: int = 1, fill: floa
     keys = keys or []
     cells = mask.select("i", "j", "k").distinct()
     values = centres.select(*keys, "i", "j", "k", F.col("value").cast("double").alias("_v"))
-    # Maps by name; their number is a handful (one a suffix or metric).
-    grid = cells.crossJoin(F.broadcast(centres.select(*keys).distinct())) if keys else cells
+    grid = cells
+    if keys:
+        # Every map has every voxel, so this is as large as the result; the names are sent around only while they are few.
+        names = centres.select(*keys).distinct()
+        few = names.limit(MOST_NAMES + 1).count() <= MOST_NAMES
+        grid = cells.crossJoin(F.broadcast(names) if few else names)
     if stride == 1:
         return grid.join(values, [*keys, "i", "j", "k"], "left").select(*keys, "i", "j", "k", F.coalesce("_v", F.lit(fill)).cast("float").alias("value"))
     axes = ["i", "j", "k"]
