@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, mixing, quality_rules, sharding, simhash, substring_dedup, token_counts, token_output, warc
+from . import decontamination, license_scan, mixing, quality_rules, sharding, simhash, periodic_runs, spelling, substring_dedup, token_counts, token_output, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by models learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.apply(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("x")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents; one code point of some occurrences is deleted first."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), 199), least_length=6, least_count=5, factor=5)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, of which a tenth is made periodic from some word on."""
+    docs = periodic_runs.made_periodic(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.find_runs(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -79,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_mixing": op9_mixing,
         "op10_decontamination": op10_decontamination,
+        "op11_toxicity": op11_toxicity,
+        "op12_spelling": op12_spelling,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -88,4 +108,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_sharding": sharding.sql(),
         "op9_mixing": mixing.sql(),
         "op10_decontamination": decontamination.SQL,
+        "op12_spelling": spelling.sql(),
     }

@@ -182,3 +182,28 @@ def later_copies(keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys, kind="stable")
         out[order[1:][keys[order[1:]] == keys[order[:-1]]]] = True
     return out
+
+
+def runs_of(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, end and text of the maximal runs of bytes that are inside, which texts (offsets off) cut."""
+    n = len(inside)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    first = np.zeros(n + 1, bool)
+    first[off] = True
+    start = np.flatnonzero(inside & (first[:-1] | ~np.concatenate([[False], inside[:-1]])))
+    end = np.flatnonzero(inside & (first[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    return start, end, np.searchsorted(off, start, "right") - 1
+
+
+def cut_out(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the segments end to end, and their offsets."""
+    off = np.concatenate([[0], np.cumsum(end - start)])
+    at = np.arange(off[-1]) + np.repeat(start - off[:-1], end - start)
+    return data[at], off
+
+
+def strings(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    """An Arrow array of the UTF-8 segments between the offsets."""
+    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
