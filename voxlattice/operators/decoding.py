@@ -1,14 +1,15 @@
 """Leave-one-split-out decoding over whole feature sets and inside windows.
 
 features is long: voxel_id, sample_id, value; targets has sample_id, split_id, y (and target_id for several targets).
-One feature with ridge is a plan of window sums; everything else runs a group at a time in numpy.
+One feature with ridge is a plan of sums; a whole feature set goes by products of samples, summed over blocks of features;
+windows, and models or selectors that are any functions, run a group at a time in numpy.
 """
 
 from __future__ import annotations
 
 import hashlib
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,33 +22,50 @@ Model = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 Selector = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def ridge(alpha: float = 1.0) -> Model:
-    """Ridge with an intercept that is not penalised."""
+class Ridge:
+    """Ridge with an intercept that is not penalised. dual() is the same from products of samples instead of features."""
+
+    def __init__(self, alpha: float = 1.0) -> None:
+        self.alpha = alpha
 
-    def run(x: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
+    def __call__(self, x: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
         mx, my = x.mean(0), y.mean(0)
         z = x - mx
         if x.shape[1] <= x.shape[0]:
-            b = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (y - my))
+            b = np.linalg.solve(z.T @ z + self.alpha * np.eye(x.shape[1]), z.T @ (y - my))
         else:
-            b = z.T @ np.linalg.solve(z @ z.T + alpha * np.eye(x.shape[0]), y - my)
+            b = z.T @ np.linalg.solve(z @ z.T + self.alpha * np.eye(x.shape[0]), y - my)
         return (test - mx) @ b + my
 
-    return run
+    def dual(self, gram: np.ndarray, y: np.ndarray, cross: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Predictions for columns y; gram is of the centred training rows, cross of test by training rows, own of each test row."""
+        my = y.mean(0)
+        if self.alpha <= 0:
+            return LeastSquares().dual(gram, y, cross, own)
+        return cross @ np.linalg.solve(gram + self.alpha * np.eye(len(gram)), y - my) + my
 
 
-def least_squares() -> Model:
-    def run(x: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
+class LeastSquares:
+    """The solution of least norm."""
+
+    #: Eigenvalues below this share of the greatest are none.
+    least = 1e-11
+
+    def __call__(self, x: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
         mx, my = x.mean(0), y.mean(0)
         return (test - mx) @ (np.linalg.pinv(x - mx) @ (y - my)) + my
 
-    return run
+    def dual(self, gram: np.ndarray, y: np.ndarray, cross: np.ndarray, own: np.ndarray) -> np.ndarray:
+        my = y.mean(0)
+        w, v = np.linalg.eigh(gram)
+        good = w > self.least * max(w.max(initial=0.0), 0.0)
+        return cross @ (v[:, good] @ ((v[:, good].T @ (y - my)) / w[good][:, None])) + my
 
 
-def nearest_mean() -> Model:
+class NearestMean:
     """The label whose training mean is nearest; labels are numbers."""
 
-    def run(x: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
+    def __call__(self, x: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
         out = []
         for col in y.reshape(len(y), -1).T:
             labels = np.unique(col)
@@ -55,28 +73,64 @@ def nearest_mean() -> Model:
             out.append(labels[((test[:, None] - means) ** 2).sum(2).argmin(1)])
         return np.stack(out, 1).reshape(len(test), *y.shape[1:])
 
-    return run
+    def dual(self, gram: np.ndarray, y: np.ndarray, cross: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out = np.empty((len(cross), y.shape[1]))
+        for n, col in enumerate(y.T):
+            labels = np.unique(col)
+            d = [own - 2 * cross[:, col == v].mean(1) + gram[np.ix_(col == v, col == v)].mean() for v in labels]
+            out[:, n] = labels[np.stack(d, 1).argmin(1)]
+        return out
+
+
+def ridge(alpha: float = 1.0) -> Model:
+    return Ridge(alpha)
+
+
+def least_squares() -> Model:
+    return LeastSquares()
+
+
+def nearest_mean() -> Model:
+    return NearestMean()
 
 
 MODELS: dict[str, Callable[..., Model]] = {"ridge": ridge, "least_squares": least_squares, "nearest_mean": nearest_mean}
 
 
-def k_best(k: int) -> Selector:
-    """The k features of largest absolute correlation with y; the first of equals."""
+class KBest:
+    """The k features of largest absolute correlation with y (of several targets, the first); the first of equals."""
 
-    def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        z, w = x - x.mean(0), y.reshape(len(y), -1)[:, 0] - y.reshape(len(y), -1)[:, 0].mean()
+    def __init__(self, k: int) -> None:
+        self.k = k
+
+    def score(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """|r| of the columns of z (centred) with y; 0 for a constant."""
+        w = y.reshape(len(y), -1)[:, 0] - y.reshape(len(y), -1)[:, 0].mean()
         norm = np.sqrt((z * z).sum(0) * (w * w).sum())
-        r = np.divide(np.abs(z.T @ w), norm, out=np.zeros(x.shape[1]), where=norm > 0)
+        return np.divide(np.abs(z.T @ w), norm, out=np.zeros(z.shape[1]), where=norm > 0)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         keep = np.zeros(x.shape[1], bool)
-        keep[np.argsort(-r, kind="stable")[:k]] = True
+        keep[np.argsort(-self.score(x - x.mean(0), y), kind="stable")[: self.k]] = True
         return keep
 
-    return run
+
+class VarianceAbove:
+    """The features whose variance, after scaling if that is done, is above a threshold."""
+
+    def __init__(self, threshold: float = 0.0) -> None:
+        self.threshold = threshold
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return x.var(0) > self.threshold
+
+
+def k_best(k: int) -> Selector:
+    return KBest(k)
 
 
 def variance_above(threshold: float = 0.0) -> Selector:
-    return lambda x, y: x.var(0) > threshold
+    return VarianceAbove(threshold)
 
 
 def training_order(names: np.ndarray, perm: int, seed: int = 0) -> np.ndarray:
@@ -124,10 +178,152 @@ def decode(x: np.ndarray, y: np.ndarray, split: np.ndarray, model: Model, select
     return out, selected
 
 
+#: Samples at most of a whole-set decoding: a fold's products of samples are solved in one task.
+MOST_SAMPLES = 20_000
+#: Rows and columns of a tile of products, and features that a task works on together.
+TILE = 512
+FEATURES = 256
+
+PREDICTED = "sample_id long, target_id int, perm_id int, y_pred double, n_features int, n_selected int"
+
+
 def leave_one_split_out(features: DataFrame, targets: DataFrame, model: str | Model = "ridge", model_params: dict | None = None, selector: Selector | None = None, permutations: int = 0, scale: bool = True, normalise: bool = False, seed: int = 0) -> DataFrame:
-    """All features as one set: sample_id, target_id, perm_id, y_pred, n_features, n_selected."""
-    members = features.select("voxel_id").distinct().select(F.lit(0).cast("long").alias("window_id"), "voxel_id", F.lit(0).alias("pos"))
-    return windows_decoding(features, members, targets, model, model_params, selector, permutations, scale, normalise, seed).drop("window_id")
+    """All features as one set: sample_id, target_id, perm_id, y_pred, n_features, n_selected.
+
+    The models and selectors of this module see no sample's features at once: tasks sum the products of samples over blocks
+    of features, a fold at a time, scaled by its training rows; tiles of the sums are added up over tasks, and a fold is
+    solved on samples x samples, for all targets and permuted labels together. Every feature has a value for every sample
+    that has a target (else an error); samples without a target or without features have no row. Other models and
+    selectors, any functions, need all features of all samples in one group, so those are for sets that fit a task.
+    """
+    fn = MODELS[model](**(model_params or {})) if isinstance(model, str) else model
+    if not hasattr(fn, "dual") or not isinstance(selector, (KBest, VarianceAbove, type(None))):
+        members = features.select("voxel_id").distinct().select(F.lit(0).cast("long").alias("window_id"), "voxel_id", F.lit(0).alias("pos"))
+        return windows_decoding(features, members, targets, fn, None, selector, permutations, scale, normalise, seed).drop("window_id")
+    targets = targets if "target_id" in targets.columns else targets.withColumn("target_id", F.lit(0))
+    known = features.select("sample_id").distinct()
+    ys = F.transform(F.array_sort(F.collect_list(F.struct("target_id", F.col("y").cast("double").alias("y")))), lambda s: s["y"])
+    labels = targets.join(known, "sample_id", "left_semi").groupBy("sample_id", "split_id").agg(ys.alias("ys")).limit(MOST_SAMPLES + 1).toPandas().sort_values("sample_id")
+    if len(labels) > MOST_SAMPLES:
+        raise ValueError(f"a whole feature set is decoded for {MOST_SAMPLES} samples at most")
+    spark = features.sparkSession
+    if not len(labels):
+        return spark.createDataFrame([], PREDICTED)
+    samples, split = labels["sample_id"].to_numpy(np.int64), pd.factorize(labels["split_id"], sort=True)[0]
+    y = np.stack(labels["ys"].to_numpy()).astype(float)
+    folds = [f for f in range(split.max() + 1) if (split != f).any()]
+    n = len(samples)
+
+    value = F.struct("sample_id", F.col("value").cast("double").alias("value"))
+    by_feature = features.groupBy("voxel_id").agg(F.array_sort(F.collect_list(value)).alias("a")).select("voxel_id", F.transform("a", lambda s: s["sample_id"]).alias("s"), F.transform("a", lambda s: s["value"]).alias("x"))
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """voxel ids and values (sample, feature) of some features."""
+        for pdf in batches:
+            for at in range(0, len(pdf), FEATURES):
+                part = pdf.iloc[at : at + FEATURES]
+                x = np.empty((n, len(part)))
+                for c, (s, v) in enumerate(zip(part["s"], part["x"])):
+                    place = np.minimum(np.searchsorted(s, samples), len(s) - 1)
+                    if len(s) < n or not np.array_equal(np.asarray(s)[place], samples):
+                        raise ValueError(f"feature {part['voxel_id'].iloc[c]} has no value for some samples")
+                    x[:, c] = np.asarray(v, float)[place]
+                yield part["voxel_id"].to_numpy(np.int64), x
+
+    def of_fold(x: np.ndarray, fold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values less their training mean, over their training deviation; the variances that selectors look at."""
+        train = x[split != fold]
+        sd = train.std(0)
+        z = x - train.mean(0)
+        return (z / np.where(sd == 0, 1.0, sd), (sd > 0).astype(float)) if scale else (z, sd**2)
+
+    chosen: dict[int, np.ndarray] | None = None
+    if isinstance(selector, KBest):
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept = {f: (np.zeros(0, np.int64), np.zeros(0)) for f in folds}
+            for voxel, x in blocks(batches):
+                for f in folds:
+                    z = of_fold(x, f)[0][split != f]
+                    v, r = np.concatenate([kept[f][0], voxel]), np.concatenate([kept[f][1], selector.score(z - z.mean(0), y[split != f])])
+                    top = np.lexsort((v, -r))[: selector.k]
+                    kept[f] = v[top], r[top]
+            for f, (v, r) in kept.items():
+                yield pd.DataFrame({"fold": f, "voxel_id": v, "r": r})
+
+        place = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("r"), "voxel_id"))
+        # k rows a fold, from k rows a fold and task.
+        top = by_feature.mapInPandas(best, "fold int, voxel_id long, r double").withColumn("place", place).where(F.col("place") <= selector.k).toPandas()
+        chosen = {f: np.sort(top.loc[top["fold"] == f, "voxel_id"].to_numpy(np.int64)) for f in folds}
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gram = {f: np.zeros((n, n)) for f in folds}
+        seen, used = 0, dict.fromkeys(folds, 0)
+        for voxel, x in blocks(batches):
+            seen += len(voxel)
+            for f in folds:
+                z, var = of_fold(x, f)
+                if chosen is not None:
+                    z = z[:, np.isin(voxel, chosen[f])]
+                elif selector is not None:
+                    z = z[:, var > selector.threshold]
+                used[f] += z.shape[1]
+                gram[f] += z @ z.T
+        if seen:
+            for f in folds:
+                for a in range(0, n, TILE):
+                    tiles = [(f, a, b, gram[f][a : a + TILE, b : b + TILE].tobytes(), seen, used[f]) for b in range(a, n, TILE)]
+                    yield pd.DataFrame(tiles, columns=["fold", "a", "b", "tile", "seen", "used"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(pdf["tile"].iloc[0]).copy()
+        for t in pdf["tile"].iloc[1:]:
+            total += np.frombuffer(t)
+        return pdf.head(1).assign(tile=[total.tobytes()], seen=pdf["seen"].sum(), used=pdf["used"].sum())
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = int(pdf["fold"].iloc[0])
+        gram = np.empty((n, n))
+        for a, b, t in zip(pdf["a"], pdf["b"], pdf["tile"]):
+            part = np.frombuffer(t).reshape(min(TILE, n - a), min(TILE, n - b))
+            gram[a : a + TILE, b : b + TILE] = part
+            gram[b : b + TILE, a : a + TILE] = part.T
+        train, test = np.flatnonzero(split != f), np.flatnonzero(split == f)
+        fit = y[train]
+        if permutations:
+            order = np.stack([training_order(samples[train], p, seed) for p in range(permutations)], 1)
+            fit = fit[order].transpose(0, 2, 1).reshape(len(train), -1)
+        pred = fn.dual(gram[np.ix_(train, train)], fit, gram[np.ix_(test, train)], gram[test, test]).reshape(len(test), y.shape[1], -1)
+        if normalise:
+            with np.errstate(all="ignore"):
+                pred = (pred - pred.mean((0, 1))) / pred.std((0, 1))
+        return predictions(samples[test], pred, int(pdf["seen"].iloc[0]), int(pdf["used"].iloc[0]))
+
+    tiles = by_feature.mapInPandas(products, "fold int, a int, b int, tile binary, seen long, used long")
+    found = tiles.groupBy("fold", "a", "b").applyInPandas(added, tiles.schema).groupBy("fold").applyInPandas(solved, PREDICTED)
+    found = found.withColumn("y_pred", or_nan(F.col("y_pred")))
+    alone = [f for f in range(split.max() + 1) if f not in folds]
+    if alone:
+        # The only split: nothing to fit on.
+        count = by_feature.count()
+        rows = [(int(s), t, p, float("nan"), count, 0) for s in samples for t in range(y.shape[1]) for p in range(max(1, permutations))]
+        return spark.createDataFrame(rows, PREDICTED)
+    return found
+
+
+def predictions(samples: np.ndarray, pred: np.ndarray, n_features: int, n_selected) -> pd.DataFrame:
+    """The rows of predictions (sample, target, permutation)."""
+    n, t, p = pred.shape
+    return pd.DataFrame(
+        {
+            "sample_id": np.repeat(samples, t * p),
+            "target_id": np.tile(np.repeat(np.arange(t), p), n),
+            "perm_id": np.tile(np.arange(p), n * t),
+            "y_pred": pred.ravel(),
+            "n_features": n_features,
+            "n_selected": np.repeat(np.broadcast_to(n_selected, n), t * p),
+        }
+    )
 
 
 def windows_decoding(features: DataFrame, members: DataFrame, targets: DataFrame, model: str | Model = "ridge", model_params: dict | None = None, selector: Selector | None = None, permutations: int = 0, scale: bool = True, normalise: bool = False, seed: int = 0) -> DataFrame:
@@ -155,19 +351,8 @@ def windows_decoding(features: DataFrame, members: DataFrame, targets: DataFrame
         flat = y[:, 0] if y.shape[1] == 1 else y
         split = pd.factorize(pdf["split_id"], sort=True)[0]
         pred, selected = decode(x, flat, split, fn, selector, permutations, scale, normalise, seed, pdf["sample_id"].to_numpy())
-        pred = pred.reshape(len(x), y.shape[1], max(1, permutations))
-        n, t, p = pred.shape
-        return pd.DataFrame(
-            {
-                "window_id": int(pdf["window_id"].iloc[0]),
-                "sample_id": np.repeat(pdf["sample_id"].to_numpy(), t * p),
-                "target_id": np.tile(np.repeat(np.arange(t), p), n),
-                "perm_id": np.tile(np.arange(p), n * t),
-                "y_pred": pred.ravel(),
-                "n_features": x.shape[1],
-                "n_selected": np.repeat(np.array([selected.get(s, 0) for s in split]), t * p),
-            }
-        )
+        rows = predictions(pdf["sample_id"].to_numpy(), pred.reshape(len(x), y.shape[1], max(1, permutations)), x.shape[1], np.array([selected.get(s, 0) for s in split]))
+        return rows.assign(window_id=int(pdf["window_id"].iloc[0]))[["window_id", *rows.columns]]
 
     schema = "window_id long, sample_id long, target_id int, perm_id int, y_pred double, n_features int, n_selected int"
     # pandas hands NaN over as NULL

@@ -15,14 +15,25 @@ from pyspark.sql import functions as F
 
 from ..functions.elementwise import NAN, or_nan
 from ..functions.normal import signed_z
+from .ordering import running_total
 
 DISTANCES = ("euclidean", "sqeuclidean", "manhattan", "cityblock", "chebyshev", "cosine")
 
 
 def average_rank(rows: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
-    """rows with `rank`: ties share the mean of their places. If a group holds NaN, all its ranks are NaN."""
-    by = by or []
+    """rows with `rank`: ties share the mean of their places. If a group holds NaN, all its ranks are NaN.
+
+    Without `by` all rows are one group: distinct scores are counted, their counts summed up in order over ranges, and the
+    ranks joined to the rows, so no task sorts the table. With `by` a group is a window partition.
+    """
     s = F.col(score).cast("double")
+    if not by:
+        counts = rows.groupBy(s.alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+        placed = running_total(counts, [], ["_s"], F.col("_c"), "_before")
+        # One row.
+        bad = F.broadcast(counts.agg(F.coalesce(F.bool_or(F.isnan("_s") | F.col("_s").isNull()), F.lit(False)).alias("_bad")))
+        ranks = placed.crossJoin(bad).select("_s", F.when(F.col("_bad"), F.lit(NAN)).otherwise(F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)).alias("rank"))
+        return rows.join(ranks, s.eqNullSafe(F.col("_s"))).drop("_s")
     whole = Window.partitionBy(*by)
     ties = Window.partitionBy(*by, score)
     place = F.rank().over(whole.orderBy(s)) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
@@ -36,9 +47,20 @@ def _auc(rank_sum: Column, n_pos: Column, n: Column) -> Column:
 
 
 def roc_auc(rows: DataFrame, label: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
-    """by..., n, n_pos, auc by the rank sum. Labels are 0 or 1, anything else raises an error; one class gives NaN."""
+    """by..., n, n_pos, auc by the rank sum. Labels are 0 or 1, anything else raises an error; one class gives NaN.
+
+    Without `by` it comes from counts of the two classes by distinct score; the rows are not sorted or joined.
+    """
     by = by or []
     y = F.when(F.col(label).isin(0, 1), F.col(label).cast("long")).otherwise(F.raise_error(F.lit("labels must be 0 or 1")).cast("long"))
+    if not by:
+        counts = rows.groupBy(F.col(score).cast("double").alias("_s")).agg(F.count(F.lit(1)).alias("_c"), F.sum(y).alias("_p"))
+        placed = running_total(counts, [], ["_s"], F.col("_c"), "_before")
+        rank = F.when(F.isnan("_s") | F.col("_s").isNull(), F.lit(NAN)).otherwise(F.col("_before") + (F.col("_c") + 1) / F.lit(2.0))
+        bad = F.bool_or(F.isnan("_s") | F.col("_s").isNull())
+        g = placed.withColumn("rank", rank).agg(F.sum("_c").alias("n"), F.sum("_p").alias("n_pos"), F.coalesce(F.sum(F.when(F.col("_p") > 0, F.col("rank") * F.col("_p"))), F.lit(0.0)).alias("_r"), bad.alias("_bad"))
+        g = g.select(F.coalesce("n", F.lit(0)).alias("n"), "n_pos", F.when(F.col("_bad"), F.lit(NAN)).otherwise(F.col("_r")).alias("_r"))
+        return g.select("n", "n_pos", _auc(F.col("_r"), F.col("n_pos"), F.col("n")).alias("auc"))
     r = average_rank(rows.withColumn("_y", y), score, by)
     g = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("n_pos"), F.coalesce(F.sum(F.when(F.col("_y") == 1, F.col("rank"))), F.lit(0.0)).alias("_r"))
     return g.select(*by, "n", "n_pos", _auc(F.col("_r"), F.col("n_pos"), F.col("n")).alias("auc"))
@@ -51,17 +73,15 @@ def test_summary(null: DataFrame, observed: DataFrame, by: list[str] | None = No
     null_std NaN. A NaN score has p and z NaN.
     """
     by = by or []
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     dev = F.abs(F.col("value") - F.col("_mean"))
+    far = dev >= F.abs(F.col("score") - F.col("_mean")) - 1e-12
     if by:
-        joined = null.join(observed, by)
+        joined = null.join(observed, by).withColumn("_mean", F.avg("value").over(Window.partitionBy(*by)))
     else:
-        # One row.
-        joined = null.join(F.broadcast(observed))
-    far = dev >= F.abs(F.col("score") - F.col("_mean")) - 1e-12
+        # A row each.
+        joined = null.join(F.broadcast(observed)).join(F.broadcast(null.agg(F.avg("value").alias("_mean"))))
     g = (
-        joined.withColumn("_mean", F.avg("value").over(whole))
-        .groupBy(*by)
+        joined.groupBy(*by)
         .agg(F.first("score").alias("score"), F.avg("value").alias("null_mean"), or_nan(F.stddev_samp("value")).alias("null_std"), F.count_if(far).alias("_far"), F.count(F.lit(1)).alias("_n"))
     )
     p = F.when(F.isnan("score"), F.lit(NAN)).otherwise((F.col("_far") + 1) / (F.col("_n") + F.lit(1.0)))

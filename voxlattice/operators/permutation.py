@@ -10,34 +10,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import finite_or_null, or_nan
 from ..functions.normal import critical_value
-from .threshold import label_faces, tfce
+from ..sources.shared import stored
+from . import bricks
+from .ordering import running_total
+from .threshold import levels
 
 #: Bytes of signs or orders that may be sent to every task.
 MOST_BYTES = 256 << 20
 STATISTICS = ("max_t", "max_size", "max_tfce")
+#: Heights up to a map's greatest value at which its components are enhanced.
+TFCE_STEPS = 100
 
 
-def permuted_labels(samples: DataFrame, n: int, seed: int = 0, sample: str = "sample_id", split: str = "split_id", label: str = "y") -> DataFrame:
+#: Rows of a split that are sorted together: a larger split is dealt into buckets of about so many.
+BUCKET = 2048
+
+
+def permuted_labels(samples: DataFrame, n: int, seed: int = 0, sample: str = "sample_id", split: str = "split_id", label: str = "y", bucket: int = BUCKET) -> DataFrame:
     """perm_id, sample_id, y: labels shuffled inside each split, n times. A split of one row keeps its label.
 
     Slots are the split's rows in order of sample id; slot r of permutation p gets the label of the row whose MD5 is the
-    r-th. Both orders are windows over a split, so the plan has no theta join.
+    r-th. Slots are numbered once, over ranges; the order by MD5 goes by buckets of its leading bits, whose counts are summed
+    up, so a split with most of the rows is many buckets, and no task sorts it. Sample ids are distinct.
     """
     if n < 1:
         raise ValueError("the number of permutations must be 1 or more")
     base = samples.select(F.col(sample).alias("sample_id"), F.col(split).alias("split_id"), F.col(label).alias("y"))
-    perms = base.withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    by = Window.partitionBy("perm_id", "split_id")
+    slots = running_total(base, ["split_id"], ["sample_id"], name="_r")
+    many = base.groupBy("split_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(bucket)).alias("_n")).withColumnRenamed("split_id", "_split")
+    perms = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    to = slots.select("sample_id", "split_id", "_r").withColumn("perm_id", perms)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col("sample_id").cast("string")))
-    slots = perms.withColumns({"_slot": F.row_number().over(by.orderBy("sample_id")), "_from": F.row_number().over(by.orderBy(key, "sample_id"))})
-    to = slots.select("perm_id", "split_id", "sample_id", F.col("_slot").alias("_r"))
-    source = slots.select("perm_id", "split_id", "y", F.col("_from").alias("_r"))
-    return to.join(source, ["perm_id", "split_id", "_r"]).select("perm_id", "sample_id", "y")
+    keyed = base.join(many, base["split_id"].eqNullSafe(F.col("_split"))).drop("_split").withColumn("perm_id", perms).withColumn("_key", key)
+    # The leading 32 bits of the MD5, as a share of all: in order of the MD5.
+    lead = F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("_n"), 32)
+    keyed = keyed.withColumn("_bucket", lead.cast("long"))
+    counts = keyed.groupBy("perm_id", "split_id", "_bucket").agg(F.count(F.lit(1)).alias("_of"))
+    before = counts.withColumn("_before", F.sum("_of").over(Window.partitionBy("perm_id", "split_id").orderBy("_bucket")) - F.col("_of")).drop("_of")
+    place = F.row_number().over(Window.partitionBy("perm_id", "split_id", "_bucket").orderBy("_key", "sample_id")) - 1
+    named = [F.col(c).alias(f"{c}_2") for c in ("perm_id", "split_id", "_bucket")]
+    ranked = keyed.withColumn("_place", place)
+    on = (F.col("perm_id") == F.col("perm_id_2")) & F.col("split_id").eqNullSafe(F.col("split_id_2")) & (F.col("_bucket") == F.col("_bucket_2"))
+    source = ranked.join(before.select(*named, "_before"), on).select("perm_id", "split_id", "y", (F.col("_before") + F.col("_place")).alias("_r"))
+    other = source.select(F.col("perm_id").alias("perm_id_2"), F.col("split_id").alias("split_id_2"), F.col("_r").alias("_r_2"), "y")
+    on = (F.col("perm_id") == F.col("perm_id_2")) & F.col("split_id").eqNullSafe(F.col("split_id_2")) & (F.col("_r") == F.col("_r_2"))
+    return to.join(other, on).select("perm_id", "sample_id", "y")
 
 
 def sign(seed: int, perm: int, row: str) -> int:
@@ -75,7 +98,7 @@ def by_image(voxels: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, F.transform("a", lambda s: s["v"]).alias("y"))
 
 
-def fwer(voxels: DataFrame, n_perm: int = 10_000, statistic: str = "max_t", tail: str = "two_sided", design: DataFrame | None = None, regressor: str = "intercept", seed: int = 0, cluster_p: float | None = None, by: list[str] = ["i", "j", "k"], block: int = 256) -> DataFrame:
+def fwer(voxels: DataFrame, n_perm: int = 10_000, statistic: str = "max_t", tail: str = "two_sided", design: DataFrame | None = None, regressor: str = "intercept", seed: int = 0, cluster_p: float | None = None, by: list[str] = ["i", "j", "k"], block: int = 256, brick: int = bricks.BRICK) -> DataFrame:
     """Voxelwise t and -log10 of the family-wise p of one regressor by permutation.
 
     The intercept is tested by sign flips, a covariate by permuting the rows of its residual on the other regressors.
@@ -83,7 +106,9 @@ def fwer(voxels: DataFrame, n_perm: int = 10_000, statistic: str = "max_t", tail
     the t that is returned is turned, so that effects are positive.
 
     max_t: values are a matrix product per block of voxels, and only a block's maxima leave the task. max_size and
-    max_tfce need a whole map in one place: a map a permutation is a group, so these are for grids that fit one task.
+    max_tfce: a task has a brick of the grid under all permutations and makes the trees of its components; what touches
+    the brick's faces is joined over the seams (see bricks). No task holds a map. The null, a number a permutation, is made
+    when this is called; a voxel's p is a binary search in it.
     """
     if statistic not in STATISTICS:
         raise ValueError(f"statistic must be one of {STATISTICS}")
@@ -120,56 +145,76 @@ def fwer(voxels: DataFrame, n_perm: int = 10_000, statistic: str = "max_t", tail
             yield pdf[by].assign(t=t)
 
     def maxima(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        most = np.full(n_perm, -np.inf)
+        up, down = np.full(n_perm, -np.inf), np.full(n_perm, -np.inf)
         for pdf in batches:
             y, good = residual(pdf["y"])
             y = y[good]
             for a in range(0, len(y), 4096):
                 for p in range(0, n_perm, block):
                     t = turn * _t_values(y[a : a + 4096], sent.value[2][:, p : p + block], dof)
-                    t = np.abs(t) if both else t
-                    most[p : p + block] = np.fmax(most[p : p + block], np.nanmax(t, 0))
-        yield pd.DataFrame({"perm_id": np.arange(n_perm), "most": most})
-
-    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            y, good = residual(pdf["y"])
-            where = pdf.loc[good, by].reset_index(drop=True)
-            for p in range(n_perm):
-                yield where.assign(perm_id=p, t=turn * _t_values(y[good], sent.value[2][:, p : p + 1], dof)[:, 0])
-
-    height = critical_value(cluster_p / 2 if both else cluster_p) if cluster_p is not None else None
-
-    def enhanced(t: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        if statistic == "max_size":
-            out = np.zeros(len(t))
-            for s in (1.0, -1.0) if both else (1.0,):
-                up = s * t >= height
-                if up.any():
-                    own = label_faces(cells[up])
-                    out[up] = np.bincount(own, minlength=len(own))[own]
-            return out
-        return np.maximum(tfce(t, cells), tfce(-t, cells)) if both else tfce(t, cells)
-
-    def most_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = enhanced(np.nan_to_num(pdf["t"].to_numpy()), pdf[by].to_numpy(np.int64))
-        return pd.DataFrame({"perm_id": [int(pdf["perm_id"].iloc[0])], "most": [float(e.max()) if len(e) else 0.0]})
-
-    def enhance(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[[*by, "t"]].assign(s=enhanced(np.nan_to_num(pdf["t"].to_numpy()), pdf[by].to_numpy(np.int64)))
+                    up[p : p + block] = np.fmax(up[p : p + block], np.fmax.reduce(t, 0))
+                    down[p : p + block] = np.fmax(down[p : p + block], np.fmax.reduce(-t, 0))
+        yield pd.DataFrame({"perm_id": np.arange(n_perm), "up": up, "down": down})
 
     found = rows.mapInPandas(observed, f"{keys}, t double").withColumn("t", or_nan(F.col("t")))
+    if statistic != "max_size":
+        # Two numbers a permutation.
+        tops = rows.mapInPandas(maxima, "perm_id long, up double, down double").groupBy("perm_id").agg(F.max("up").alias("up"), F.max("down").alias("down")).toPandas().set_index("perm_id").reindex(range(n_perm), fill_value=-np.inf)
     if statistic == "max_t":
         found = found.withColumn("s", F.abs("t") if both else F.col("t"))
-        null = rows.mapInPandas(maxima, "perm_id long, most double").groupBy("perm_id").agg(F.max("most").alias("most"))
+        null = np.maximum(tops["up"], tops["down"]).to_numpy() if both else tops["up"].to_numpy()
     else:
-        found = found.groupBy().applyInPandas(enhance, f"{keys}, t double, s double")
-        null = rows.mapInPandas(maps, f"{keys}, perm_id int, t double").groupBy("perm_id").applyInPandas(most_of, "perm_id long, most double")
-    # n_perm numbers in one row.
-    sorted_null = null.agg(F.array_sort(F.collect_list("most")).alias("null"))
-    p = lambda s: (F.size(F.filter("null", lambda m: m >= s - 1e-9)) + 1) / F.lit(n_perm + 1.0)
-    joined = found.join(F.broadcast(sorted_null)).withColumn("p", F.when(F.isnan("t"), F.lit(1.0)).otherwise(p(F.col("s"))))
-    return joined.select(*by, "t", "p", (-F.log10("p")).alias("logp"))
+        sides = (1, -1) if both else (1,)
+        if statistic == "max_size":
+            height = critical_value(cluster_p / 2 if both else cluster_p)
+            weights, unit = bricks.size_weights(), {(p, s): 1.0 for p in range(-1, n_perm) for s in sides}
+        else:
+            weights = bricks.tfce_weights(TFCE_STEPS)
+            top = found.where(~F.isnan("t")).agg(F.max("t").alias("up"), F.max(-F.col("t")).alias("down")).first()
+            step = {(int(p), s): float(x) / TFCE_STEPS for s, name in ((1, "up"), (-1, "down")) for p, x in [(-1, top[name] or 0.0), *tops[name].items()]}
+            unit = {k: v**3 for k, v in step.items() if v > 0} or {(-1, 1): 1.0}
+
+        def leveled(t: np.ndarray, perm: int, side: int) -> np.ndarray:
+            if statistic == "max_size":
+                return (side * t >= height).astype(np.int64)
+            dh = step[perm, side]
+            return levels(side * t, dh, TFCE_STEPS) if dh > 0 else np.zeros(len(t), np.int64)
+
+        def of_brick(t: pa.Table) -> pa.Table:
+            y, good = residual(t.column("y").to_pylist())
+            y, cells = y[good], np.column_stack([t.column(c).to_numpy() for c in by]).astype(np.int64)[good]
+            found, perm = [], []
+            for p in range(-1, n_perm if len(cells) else -1, block):
+                last = min(p + block, n_perm)
+                x = sent.value[2][:, max(p, 0) : last]
+                each = turn * _t_values(y, np.column_stack([sent.value[0], x]) if p < 0 else x, dof)
+                for q in range(p, last):
+                    for s in sides:
+                        made = bricks.pieces(cells, leveled(each[:, q - p], q, s), cells[0] // brick * brick, brick, weights, s, q < 0)
+                        found += made
+                        perm += [q] * len(made)
+            return bricks.as_table(found, "perm_id", pa.array(perm, pa.int32()))
+
+        made = stored(rows.groupBy(*bricks.brick_of(brick, tuple(by))).applyInArrow(of_brick, f"perm_id int, {bricks.PIECES}"), "pieces")
+        inner, parts = bricks.merged(made, "perm_id", weights)
+        # A number a permutation and side.
+        units = F.broadcast(voxels.sparkSession.createDataFrame([(p, s, u) for (p, s), u in unit.items()], "perm_id int, side int, unit double"))
+        inner = inner.join(units, ["perm_id", "side"]).withColumns({c: F.col(c) * F.col("unit") for c in ("base", "best")}).drop("unit")
+        most = inner.where("perm_id >= 0").groupBy("perm_id").agg(F.max(F.col("base") + F.col("best")).alias("most")).toPandas()
+        null = np.zeros(n_perm)
+        null[most["perm_id"].to_numpy(np.int64)] = most["most"]
+        parts = parts.where("perm_id = -1").join(units, ["perm_id", "side"]).withColumn("inside", F.col("inside") * F.col("unit")).drop("unit")
+        own = bricks.voxel_values(inner.where("perm_id = -1"), parts, "perm_id").select(*[F.col(a).alias(b) for a, b in zip("ijk", by)], F.col("value").alias("s"))
+        found = found.join(own, by, "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    null = np.sort(null)
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            reach = n_perm - np.searchsorted(null, pdf["s"].to_numpy() - 1e-9, "left")
+            p = np.where(pdf["t"].isna(), 1.0, (reach + 1) / (n_perm + 1.0))
+            yield pdf[[*by, "t"]].assign(p=p, logp=-np.log10(p))
+
+    return found.select(*by, "t", "s").mapInPandas(judged, f"{keys}, t double, p double, logp double").withColumn("t", or_nan(F.col("t")))
 
 
 def _regressor(images: list, design: DataFrame | None, regressor: str) -> tuple[np.ndarray, np.ndarray]:

@@ -111,8 +111,8 @@ def group_analysis(spark: SparkSession, maps, out_dir: str | None = None, settin
     known = json.loads(files.read_bytes(args_path)).get("run_id") if files.exists(args_path) else None
     reuse = known == ident and not settings.overwrite
     if not reuse:
-        shown = asdict(settings) | {"maps": folder or "table", "out_dir": group_dir, "n_maps": len(paths), "covariates": covariates, "run_id": ident}
-        files.write_bytes(args_path, json.dumps(shown, indent=2).encode())
+        # Whatever is there belongs to other arguments, and may be half replaced when this run stops.
+        files.remove(args_path)
 
     first = read_header(paths[0])
     shapes = headers(spark, paths).groupBy(F.col("shape").cast("string").alias("shape")).agg(F.min("path").alias("path"), F.count_distinct(F.col("affine").cast("string")).alias("affines")).collect()
@@ -164,6 +164,10 @@ def group_analysis(spark: SparkSession, maps, out_dir: str | None = None, settin
         out.append((r, where, shown_on, target["unc"], target["two_sided"], target["gt"], target["lt"], paths))
     for df in (fitted, values, inside):
         df.unpersist()
+    if not reuse:
+        # Last, so that maps are used again only if all of them are of this run.
+        shown = asdict(settings) | {"maps": folder or "table", "out_dir": group_dir, "n_maps": len(paths), "covariates": covariates, "run_id": ident}
+        files.write_bytes(args_path, json.dumps(shown, indent=2).encode())
     return spark.createDataFrame(out, "regressor string, group_dir string, template_image_path string, t_unc_path string, thresholded_two_sided_path string, thresholded_gt_path string, thresholded_lt_path string, used_map_paths array<string>")
 
 

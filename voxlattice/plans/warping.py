@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 
 import numpy as np
@@ -47,7 +48,8 @@ def warp_to_template(spark: SparkSession, in_path: str, subject_dir: str, out_pa
     source, full = grid_of(in_path), grid_of(reference)
     size = tuple(voxel_size or source.zooms)
     target = full.with_spacing(size)
-    folder = os.path.dirname(os.path.abspath(out_path))
+    # A path without a scheme is local, and may be relative.
+    folder = posixpath.dirname(out_path if "://" in out_path else os.path.abspath(out_path))
     cached = f"ref_MNI_{zoom_tag(size)}mm"
     if not files.exists(f"{folder}/{cached}.nii.gz"):
         small = resampled(read_volumes(spark, reference), full, target, "linear").withColumn("img_id", F.lit(cached))

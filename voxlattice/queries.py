@@ -244,11 +244,24 @@ SELECT (o.pos // 16)::INT AS i, (o.pos // 4 % 4)::INT AS j, (o.pos % 4)::INT AS
 FROM tp o JOIN {value} e ON o.p = -1 AND e.p = -1 AND o.pos = e.pos, mx GROUP BY o.pos, o.t, e.value"""
 
 
-@query(f"""WITH RECURSIVE {VOX}, {_t_of_signs(20)}, u AS (SELECT p, pos, t > 0 AS up FROM tp WHERE abs(t) >= {critical_value(0.1)!r}),
+CLUSTER_SIZE = f"""WITH RECURSIVE {VOX}, {_t_of_signs(20)}, u AS (SELECT p, pos, t > 0 AS up FROM tp WHERE abs(t) >= {critical_value(0.1)!r}),
 r AS (SELECT p, pos AS a, pos, up FROM u UNION SELECT r.p, r.a, u.pos, r.up FROM r JOIN u ON u.p = r.p AND u.up = r.up AND {_FACES}),
-c AS (SELECT p, a AS pos, count(*)::DOUBLE AS value FROM r GROUP BY ALL), e AS (SELECT tp.p, tp.pos, coalesce(value, 0) AS value FROM tp LEFT JOIN c USING (p, pos)), {_fwer_of('e', 20)}""")
+c AS (SELECT p, a AS pos, count(*)::DOUBLE AS value FROM r GROUP BY ALL), e AS (SELECT tp.p, tp.pos, coalesce(value, 0) AS value FROM tp LEFT JOIN c USING (p, pos)), {_fwer_of('e', 20)}"""
+
+
+def _cluster_size(spark, sf_dir, **options) -> DataFrame:
+    return permutation.fwer(voxels(spark, sf_dir), 20, "max_size", "two_sided", cluster_p=0.2, **options).select("i", "j", "k", r6("t"), r6("p"))
+
+
+@query(CLUSTER_SIZE)
 def cluster_size_fwer(spark, sf_dir):
-    return permutation.fwer(voxels(spark, sf_dir), 20, "max_size", "two_sided", cluster_p=0.2).select("i", "j", "k", r6("t"), r6("p"))
+    return _cluster_size(spark, sf_dir)
+
+
+@query(CLUSTER_SIZE)
+def cluster_size_fwer_seams(spark, sf_dir):
+    """The same from bricks of eight voxels, so that clusters go over seams."""
+    return _cluster_size(spark, sf_dir, brick=2)
 
 
 def _tfce_sql(n_perm: int, steps: int = 100) -> str:
@@ -264,6 +277,12 @@ def tfce_fwer(spark, sf_dir):
     return permutation.fwer(voxels(spark, sf_dir), 10, "max_tfce", "two_sided").select("i", "j", "k", r6("t"), r6("p"))
 
 
+@query(_tfce_sql(10))
+def tfce_fwer_seams(spark, sf_dir):
+    """The same from bricks of 27 voxels and what the grid leaves beside them."""
+    return permutation.fwer(voxels(spark, sf_dir), 10, "max_tfce", "two_sided", brick=3).select("i", "j", "k", r6("t"), r6("p"))
+
+
 @query(f"""WITH {VOX}, ids AS (SELECT DISTINCT img_id, label::DOUBLE AS x FROM v), n AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mx, sum(x * x) - count(*) * avg(x) * avg(x) AS xx FROM ids),
 d AS (SELECT p, img_id, x, row_number() OVER (PARTITION BY p ORDER BY img_id) AS slot, row_number() OVER (PARTITION BY p ORDER BY CASE WHEN p < 0 THEN '' ELSE md5(concat('0:', p, ':', img_id)) END, img_id) AS src FROM ids, (SELECT unnest(range(-1, 50)) AS p)),
 s AS (SELECT a.p, a.img_id, b.x FROM d a JOIN d b ON a.p = b.p AND a.slot = b.src),

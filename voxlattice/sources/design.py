@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import fnmatch
+import posixpath
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -94,19 +96,19 @@ def find_transform(folder: str, template: str | None = None) -> tuple[str, str]:
     The transform is the subject's T1w to MNI152NLin2009cAsym file under anat (as a table: .parquet, or .h5); of the
     references in that space, the first with res-2 in its name is preferred, else the first by name, else `template`.
     """
-    root = Path(folder)
-    anat = root / "anat"
-    stem = f"{root.stem}_from-T1w_to-MNI152NLin2009cAsym_mode-image_xfm"
-    found = [p for end in (".parquet", ".h5") if (p := anat / f"{stem}{end}").exists()]
+    anat = f"{folder.rstrip('/')}/anat"
+    subject = posixpath.splitext(posixpath.basename(folder.rstrip("/")))[0]
+    stem = f"{subject}_from-T1w_to-MNI152NLin2009cAsym_mode-image_xfm"
+    found = [p for end in (".parquet", ".h5") if files.exists(p := f"{anat}/{stem}{end}")]
     if not found:
         raise FileNotFoundError(f"no transform {stem} in {anat}")
-    refs = sorted(anat.glob("*space-MNI152NLin2009cAsym*_T1w.nii*"))
-    refs = [p for p in refs if "res-2" in p.name] or refs
+    refs = [p for p in files.names(anat) if fnmatch.fnmatchcase(p, "*space-MNI152NLin2009cAsym*_T1w.nii*")]
+    refs = [p for p in refs if "res-2" in p] or refs
     if refs:
-        return str(found[0]), str(refs[0])
+        return found[0], f"{anat}/{refs[0]}"
     if template is None:
         raise FileNotFoundError(f"no reference volume in {anat}, and no template is configured")
-    return str(found[0]), template
+    return found[0], template
 
 
 def with_image_ids(design: DataFrame) -> DataFrame:

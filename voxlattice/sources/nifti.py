@@ -7,6 +7,7 @@ geometry only. The writer gives each map to one file, which appears under its na
 from __future__ import annotations
 
 import gzip
+import json
 import posixpath
 import re
 import struct
@@ -150,9 +151,10 @@ class FilePartition(InputPartition):
 
 class NiftiReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        asked = [p for p in str(options.get("paths") or options.get("path") or "").split(",") if p]
+        # paths is a list in JSON, so that names may hold any character; path is one path.
+        asked = json.loads(options["paths"]) if options.get("paths") else [p for p in [options.get("path")] if p]
         if not asked:
-            raise ValueError("give a path, or paths separated by commas")
+            raise ValueError("give a path, or a JSON list of paths")
         self.files = [f for p in asked for f in list_files(p)]
         ids = [image_id(f) for f in self.files]
         full = len(set(ids)) < len(ids)
@@ -238,7 +240,7 @@ def register(spark: SparkSession) -> None:
 
 def read_volumes(spark: SparkSession, files: str | list[str]) -> DataFrame:
     register(spark)
-    return spark.read.format("nifti").option("paths", files if isinstance(files, str) else ",".join(files)).load()
+    return spark.read.format("nifti").option("paths", json.dumps([files] if isinstance(files, str) else list(files))).load()
 
 
 def headers(spark: SparkSession, files: list[str]) -> DataFrame:

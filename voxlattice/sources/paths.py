@@ -29,6 +29,12 @@ def is_folder(path: str) -> bool:
     return kind(path) == fs.FileType.Directory
 
 
+def names(folder: str) -> list[str]:
+    """The names in a folder, sorted; none if there is no such folder."""
+    where, inner = filesystem(folder)
+    return sorted(x.base_name for x in where.get_file_info(fs.FileSelector(inner, allow_not_found=True)))
+
+
 def make_folder(path: str) -> None:
     where, inner = filesystem(path)
     where.create_dir(inner, recursive=True)

@@ -1,4 +1,4 @@
-"""A new folder that the driver and all executors can write to."""
+"""New folders that the driver and all executors can write to, and tables in them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from .paths import filesystem
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -22,3 +24,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     own = tempfile.mkdtemp(prefix=f"voxlattice-{name}-")
     atexit.register(shutil.rmtree, own, True)
     return own
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read from there, which cuts its lineage."""
+    path = shared_folder(df.sparkSession, name)
+    path = path if re.match(r"\w[\w+.-]*:", path) else f"file://{path}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._voxlattice_stored = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that stored() made and that nothing reads any more."""
+    for t in tables:
+        where, inner = filesystem(t._voxlattice_stored)
+        where.delete_dir(inner)
