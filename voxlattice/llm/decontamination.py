@@ -111,8 +111,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text holds an item, columns as they were. Null texts stay."""
     bad = written(leaks(docs, benchmark, threshold, k, id_col, text_col).select(F.col("text_key").alias("_leak_key")).distinct(), "leaks")
-    key = F.md5(F.encode(F.col(text_col).cast("string"), "UTF-8"))
-    return docs.join(bad, key == F.col("_leak_key"), "left_anti")
+    # The row goes as one value, so that no column of it can clash with the key.
+    rows = docs.select(F.struct("*").alias("_whole_row"))
+    key = F.md5(F.encode(F.col(f"_whole_row.`{text_col}`").cast("string"), "UTF-8"))
+    return rows.join(bad, key == F.col("_leak_key"), "left_anti").select(*[F.col(f"_whole_row.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = """

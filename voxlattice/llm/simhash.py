@@ -226,6 +226,8 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prints = written(fingerprints(docs, id_col, text_col), "simhash-fp")
     found = _least_of_components(prints, F.min(F.struct("doc_id", "text_key"))).where("fp = root")
     kept = found.select(F.col("least.doc_id").alias("_kept_id"), F.col("least.text_key").alias("_kept_key"))
-    rows = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_key": F.xxhash64(F.col(text_col).cast("string"))})
+    # The row goes as one value, so that no column of it can clash with those that are added.
+    rows = docs.select(F.struct("*").alias("_whole_row"))
+    rows = rows.withColumns({"_own_id": F.col(f"_whole_row.`{id_col}`").cast("long"), "_own_key": F.xxhash64(F.col(f"_whole_row.`{text_col}`").cast("string"))})
     chosen = rows.join(kept, rows["_own_id"].eqNullSafe(kept["_kept_id"]) & (rows["_own_key"] == kept["_kept_key"]), "left_semi")
-    return chosen.dropDuplicates(["_own_id", "_own_key"]).select(*[F.col(f"`{c}`") for c in names])
+    return chosen.dropDuplicates(["_own_id", "_own_key"]).select(*[F.col(f"_whole_row.`{c}`").alias(c) for c in names])
