@@ -1,6 +1,7 @@
 """Whole feature sets by products of samples against the same models on all features at once."""
 
 import math
+import warnings
 
 import numpy as np
 import pytest
@@ -88,3 +89,27 @@ def test_one_split_only(spark):
     f, t = rows(spark, np.ones((3, 2)), np.arange(3.0), np.zeros(3))
     found = decoding.leave_one_split_out(f, t, permutations=2).collect()
     assert len(found) == 6 and all(math.isnan(r["y_pred"]) and r["n_selected"] == 0 and r["n_features"] == 2 for r in found)
+
+
+@pytest.mark.parametrize("radius,stride,brick", [(1, 1, 2), (1, 2, 3), (2, 1, 8), (0, 3, 2)])
+def test_searchlights_by_bricks_agree_with_windows(spark, radius, stride, brick):
+    from voxlattice.operators import windows
+
+    rng = np.random.default_rng(9)
+    cells = [c for c in np.ndindex(4, 3, 5) if rng.random() < 0.8]
+    mask = spark.createDataFrame([tuple(map(int, c)) for c in cells], "i int, j int, k int")
+    x, split = rng.normal(size=(12, len(cells))), np.arange(12) % 3
+    f = spark.createDataFrame([(v, s, float(x[s, v])) for v in range(len(cells)) for s in range(12) if v not in (3, 4)], "voxel_id long, sample_id long, value double")
+    t = spark.createDataFrame([(s, int(split[s]), float(x[s, 5])) for s in range(12)], "sample_id long, split_id int, y double")
+    members = windows.searchlight_members(mask, radius, stride)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        want = decoding.windows_decoding(f, members.select("window_id", "pos", "voxel_id"), t).toPandas()
+    got = decoding.searchlight_decoding(f, mask, t, radius, stride, brick=brick).toPandas()
+    key = ["window_id", "sample_id", "target_id", "perm_id"]
+    a, b = (p.sort_values(key).reset_index(drop=True) for p in (got, want))
+    assert a[key].astype("int64").equals(b[key].astype("int64"))
+    assert a["y_pred"].to_numpy(float) == pytest.approx(b["y_pred"].to_numpy(float), abs=1e-9, nan_ok=True)
+    assert (a["n_features"].to_numpy() == b["n_features"].to_numpy()).all() and (a["n_selected"].to_numpy() == b["n_selected"].to_numpy()).all()
+    centres = {tuple(r) for r in windows.searchlight_centres(mask, stride).collect()}
+    assert centres == {(r["window_id"], r["ci"], r["cj"], r["ck"]) for r in members.select("window_id", "ci", "cj", "ck").distinct().collect()}

@@ -70,8 +70,6 @@ def test_resampling(spark):
     assert got[0::2] == pytest.approx(data) and got[1:-1:2] == pytest.approx((data[1:] + data[:-1]) / 2)
     near = array(grid.resampled(v, CUBE, fine, "nn"), fine.shape)
     assert near[0::2] == pytest.approx(data)
-    with pytest.raises(NotImplementedError):
-        grid.resampled(v, CUBE, CUBE, "spline")
     assert grid.interpolation("whatever") == "linear" and grid.zoom_tag((2.5, 2.0, 2.0)) == "2p5_2_2"
 
 
@@ -338,3 +336,47 @@ def test_thresholds_look_at_the_mask_or_at_all(spark, study, tmp_path):
         from voxlattice.functions.normal import critical_value
 
         assert (kept > 0).sum() == (t > critical_value(0.2 / n)).sum()
+
+
+def test_a_run_that_stopped_is_not_used_again(spark, study, tmp_path, monkeypatch):
+    """Maps without smoothing, then a run with smoothing that stops in its first write, then that run again."""
+    from voxlattice.plans import group_analysis as plan
+
+    root, _ = study
+    options = {"mask": str(root / "mask" / "mask.nii"), "cluster_threshold": 0}
+    total = lambda m: nifti.read_volumes(spark, m.first()["t_unc_path"]).agg(F.sum(F.abs("value"))).first()[0]
+    smooth = Settings(**options, smoothing_fwhm=2.0)
+    want = total(group_analysis(spark, str(root), str(tmp_path / "new"), smooth))
+    plain = total(group_analysis(spark, str(root), str(tmp_path / "g"), Settings(**options)))
+    assert plain != pytest.approx(want)
+    whole = plan.write_volumes
+
+    def stops(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(plan, "write_volumes", stops)
+    with pytest.raises(OSError):
+        group_analysis(spark, str(root), str(tmp_path / "g"), smooth)
+    monkeypatch.setattr(plan, "write_volumes", whole)
+    assert total(group_analysis(spark, str(root), str(tmp_path / "g"), smooth)) == pytest.approx(want)
+
+
+def test_paths_may_hold_commas(spark, tmp_path):
+    for name in ("a,b", "c"):
+        (tmp_path / f"{name}.nii").write_bytes(nifti.volume_bytes(np.ones((2, 2, 2)), np.eye(4), "f4"))
+    found = nifti.read_volumes(spark, [str(tmp_path / "a,b.nii"), str(tmp_path / "c.nii")])
+    assert {r[0] for r in found.select("img_id").distinct().collect()} == {"a,b", "c"}
+    assert nifti.read_volumes(spark, str(tmp_path / "a,b.nii")).count() == 8
+
+
+def test_transforms_are_found_through_the_file_system_of_the_path(monkeypatch):
+    from pyarrow import fs
+
+    from voxlattice.sources import design, paths
+
+    stub = fs._MockFileSystem()
+    monkeypatch.setattr(paths, "filesystem", lambda p: (stub, p.removeprefix("stub://")) if p.startswith("stub://") else (fs.LocalFileSystem(), p))
+    stem = "sub-7_from-T1w_to-MNI152NLin2009cAsym_mode-image_xfm"
+    for name in (f"{stem}.h5", f"{stem}.parquet", "sub-7_space-MNI152NLin2009cAsym_res-2_T1w.nii.gz", "sub-7_space-other_T1w.nii.gz"):
+        paths.write_bytes(f"stub://b/sub-7/anat/{name}", b"x")
+    assert design.find_transform("stub://b/sub-7/") == (f"stub://b/sub-7/anat/{stem}.parquet", "stub://b/sub-7/anat/sub-7_space-MNI152NLin2009cAsym_res-2_T1w.nii.gz")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import or_nan
+from .windows import voxel_ids
 
 Model = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 Selector = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -200,22 +201,13 @@ def leave_one_split_out(features: DataFrame, targets: DataFrame, model: str | Mo
     if not hasattr(fn, "dual") or not isinstance(selector, (KBest, VarianceAbove, type(None))):
         members = features.select("voxel_id").distinct().select(F.lit(0).cast("long").alias("window_id"), "voxel_id", F.lit(0).alias("pos"))
         return windows_decoding(features, members, targets, fn, None, selector, permutations, scale, normalise, seed).drop("window_id")
-    targets = targets if "target_id" in targets.columns else targets.withColumn("target_id", F.lit(0))
-    known = features.select("sample_id").distinct()
-    ys = F.transform(F.array_sort(F.collect_list(F.struct("target_id", F.col("y").cast("double").alias("y")))), lambda s: s["y"])
-    labels = targets.join(known, "sample_id", "left_semi").groupBy("sample_id", "split_id").agg(ys.alias("ys")).limit(MOST_SAMPLES + 1).toPandas().sort_values("sample_id")
-    if len(labels) > MOST_SAMPLES:
-        raise ValueError(f"a whole feature set is decoded for {MOST_SAMPLES} samples at most")
     spark = features.sparkSession
-    if not len(labels):
+    samples, split, y = labels_of(targets, features)
+    if not len(samples):
         return spark.createDataFrame([], PREDICTED)
-    samples, split = labels["sample_id"].to_numpy(np.int64), pd.factorize(labels["split_id"], sort=True)[0]
-    y = np.stack(labels["ys"].to_numpy()).astype(float)
     folds = [f for f in range(split.max() + 1) if (split != f).any()]
     n = len(samples)
-
-    value = F.struct("sample_id", F.col("value").cast("double").alias("value"))
-    by_feature = features.groupBy("voxel_id").agg(F.array_sort(F.collect_list(value)).alias("a")).select("voxel_id", F.transform("a", lambda s: s["sample_id"]).alias("s"), F.transform("a", lambda s: s["value"]).alias("x"))
+    by_feature = feature_rows(features)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """voxel ids and values (sample, feature) of some features."""
@@ -224,10 +216,7 @@ def leave_one_split_out(features: DataFrame, targets: DataFrame, model: str | Mo
                 part = pdf.iloc[at : at + FEATURES]
                 x = np.empty((n, len(part)))
                 for c, (s, v) in enumerate(zip(part["s"], part["x"])):
-                    place = np.minimum(np.searchsorted(s, samples), len(s) - 1)
-                    if len(s) < n or not np.array_equal(np.asarray(s)[place], samples):
-                        raise ValueError(f"feature {part['voxel_id'].iloc[c]} has no value for some samples")
-                    x[:, c] = np.asarray(v, float)[place]
+                    x[:, c] = in_order(part["voxel_id"].iloc[c], s, v, samples)
                 yield part["voxel_id"].to_numpy(np.int64), x
 
     def of_fold(x: np.ndarray, fold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -311,6 +300,94 @@ def leave_one_split_out(features: DataFrame, targets: DataFrame, model: str | Mo
     return found
 
 
+def labels_of(targets: DataFrame, features: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sample ids in order, their splits as numbers from 0, and targets (sample, target) of the samples that have features.
+
+    They come to the driver: MOST_SAMPLES rows at most, else an error.
+    """
+    targets = targets if "target_id" in targets.columns else targets.withColumn("target_id", F.lit(0))
+    known = features.select("sample_id").distinct()
+    ys = F.transform(F.array_sort(F.collect_list(F.struct("target_id", F.col("y").cast("double").alias("y")))), lambda s: s["y"])
+    labels = targets.join(known, "sample_id", "left_semi").groupBy("sample_id", "split_id").agg(ys.alias("ys")).limit(MOST_SAMPLES + 1).toPandas().sort_values("sample_id")
+    if len(labels) > MOST_SAMPLES:
+        raise ValueError(f"decoding is for {MOST_SAMPLES} samples at most")
+    if not len(labels):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 1))
+    return labels["sample_id"].to_numpy(np.int64), pd.factorize(labels["split_id"], sort=True)[0], np.stack(labels["ys"].to_numpy()).astype(float)
+
+
+def feature_rows(features: DataFrame) -> DataFrame:
+    """voxel_id, s, x: a row a feature with its samples, in order, and their values; each value is shuffled once."""
+    value = F.struct("sample_id", F.col("value").cast("double").alias("value"))
+    rows = features.groupBy("voxel_id").agg(F.array_sort(F.collect_list(value)).alias("a"))
+    return rows.select("voxel_id", F.transform("a", lambda s: s["sample_id"]).alias("s"), F.transform("a", lambda s: s["value"]).alias("x"))
+
+
+def in_order(voxel: int, own: np.ndarray, values: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """A feature's values for the samples, by its own sample ids."""
+    place = np.minimum(np.searchsorted(own, samples), len(own) - 1)
+    if len(own) < len(samples) or not np.array_equal(np.asarray(own)[place], samples):
+        raise ValueError(f"feature {voxel} has no value for some samples")
+    return np.asarray(values, float)[place]
+
+
+def searchlight_decoding(features: DataFrame, mask: DataFrame, targets: DataFrame, radius: int, stride: int = 1, model: str | Model = "ridge", model_params: dict | None = None, selector: Selector | None = None, permutations: int = 0, scale: bool = True, normalise: bool = False, seed: int = 0, brick: int = 8) -> DataFrame:
+    """Leave-one-split-out in the cube around each centre of a mask: the rows of windows_decoding().
+
+    A voxel is one row with its samples as an array. It goes to the brick of the grid that it is in, and to those whose rim
+    of `radius` voxels it belongs to; there the windows of the brick's centres are cut, so a value moves about
+    (1 + 2 radius / brick) ** 3 times and not once for each window that holds it. Voxels of the mask without features are
+    in no window; a window without any is NaN for every sample. Every other voxel has a value for every sample.
+    """
+    if radius < 0 or stride <= 0:
+        raise ValueError("radius must be 0 or more and stride above 0")
+    fn = MODELS[model](**(model_params or {})) if isinstance(model, str) else model
+    samples, split, y = labels_of(targets, features)
+    spark = features.sparkSession
+    schema = f"window_id long, {PREDICTED}"
+    if not len(samples):
+        return spark.createDataFrame([], schema)
+    flat = y[:, 0] if y.shape[1] == 1 else y
+    voxels = voxel_ids(mask)
+    on = F.lit(True)
+    for c in "ijk":
+        on &= F.col(c) % stride == 0
+    # Windows are numbered as their centres are; at stride 1 that is as the voxels are.
+    centres = voxels.where(on).select("i", "j", "k") if stride > 1 else None
+    numbered = voxels.join(voxel_ids(centres).withColumnRenamed("voxel_id", "window_id"), ["i", "j", "k"], "left") if stride > 1 else voxels.withColumn("window_id", F.col("voxel_id"))
+    rows = numbered.join(feature_rows(features), "voxel_id", "left")
+    for c in "ijk":
+        low, high = (F.floor((F.col(c) + d) / brick).cast("int") for d in (-radius, radius))
+        rows = rows.withColumn(f"_b{c}", F.explode(F.sequence(low, high)))
+    home = F.lit(True)
+    for c in "ijk":
+        home &= F.floor(F.col(c) / brick).cast("int") == F.col(f"_b{c}")
+    rows = rows.withColumn("window_id", F.when(home, F.col("window_id")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("voxel_id")
+        cells = pdf[["i", "j", "k"]].to_numpy(np.int64)
+        have = pdf["x"].notna().to_numpy()
+        x = np.stack([in_order(v, s, z, samples) for v, s, z in zip(pdf["voxel_id"][have], pdf["s"][have], pdf["x"][have])], 1) if have.any() else np.zeros((len(samples), 0))
+        cells_of, out = cells[have], []
+        for w, c in zip(pdf["window_id"], cells):
+            if pd.isna(w):
+                continue
+            inside = (np.abs(cells_of - c) <= radius).all(1)
+            if inside.any():
+                pred, selected = decode(x[:, inside], flat, split, fn, selector, permutations, scale, normalise, seed, samples)
+                used = np.array([selected.get(s, 0) for s in split])
+            else:
+                pred, used = np.full((*flat.shape, max(1, permutations)), np.nan), 0
+            rows = predictions(samples, pred.reshape(len(samples), y.shape[1], max(1, permutations)), int(inside.sum()), used)
+            rows.insert(0, "window_id", int(w))
+            out.append(rows)
+        return pd.concat(out) if out else pd.DataFrame(columns=["window_id", *[f.split()[0] for f in PREDICTED.split(", ")]]).astype("float64")
+
+    found = rows.groupBy("_bi", "_bj", "_bk").applyInPandas(run, schema)
+    return found.withColumn("y_pred", or_nan(F.col("y_pred")))
+
+
 def predictions(samples: np.ndarray, pred: np.ndarray, n_features: int, n_selected) -> pd.DataFrame:
     """The rows of predictions (sample, target, permutation)."""
     n, t, p = pred.shape

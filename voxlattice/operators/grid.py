@@ -1,8 +1,8 @@
 """Resampling, warping and smoothing on voxel grids.
 
 A volume is rows (img_id, i, j, k, value), a grid a shape and an affine (4 x 4, voxel to world). Every output voxel
-computes where it comes from and meets its source voxels by equality: one for nearest neighbours, eight with weights
-for linear interpolation.
+computes where it comes from and meets its source voxels by equality: one for nearest neighbours, eight with weights for
+linear interpolation, 64 coefficients with weights for cubic B-splines.
 """
 
 from __future__ import annotations
@@ -67,11 +67,10 @@ def resampled(volume: DataFrame, source: Grid, target: Grid, method: str = "line
 
     A target voxel goes to world space, is moved by displacement (i, j, k, dx, dy, dz on the target grid) and then by
     the world affine, and from there to source indices. Places outside the source, and missing source values, are 0;
-    with linear interpolation each of the eight corners counts so by itself.
+    with linear interpolation each of the eight corners counts so by itself. B-splines are cubic and go through the values;
+    beyond the first and last voxel the volume is mirrored, and only places between them have a value.
     """
     method = interpolation(method)
-    if method == "bspline":
-        raise NotImplementedError("B-spline interpolation is not available; use linear or nearest")
     keys = keys or ["img_id"]
     spark = volume.sparkSession
     cells = target.cells(spark)
@@ -90,6 +89,17 @@ def resampled(volume: DataFrame, source: Grid, target: Grid, method: str = "line
         return wanted.join(values, [*keys, "_i", "_j", "_k"], "left").select(*keys, "i", "j", "k", F.coalesce("_v", F.lit(0.0)).alias("value"))
     low = [F.floor(F.round(F.col(f"_x{n}"), 9)) for n in range(3)]
     part = [F.greatest(F.lit(0.0), F.round(F.col(f"_x{n}"), 9) - low[n]) for n in range(3)]
+    if method == "bspline":
+        inside = F.lit(True)
+        for n in range(3):
+            inside &= F.round(F.col(f"_x{n}"), 9).between(0, source.shape[n] - 1)
+        spread = place.where(inside)
+        for n in range(3):
+            spread = spread.withColumn(f"_a{n}", F.explode(_spline_weights(low[n], part[n], source.shape[n]))).where(f"_a{n}.w > 0")
+        spread = spread.select("i", "j", "k", (F.col("_a0.w") * F.col("_a1.w") * F.col("_a2.w")).alias("w"), *[F.col(f"_a{n}.at").alias(f"_{c}") for n, c in enumerate("ijk")])
+        values = spline_coefficients(values, source.shape, keys)
+        fed = spread.join(values, ["_i", "_j", "_k"]).groupBy(*keys, "i", "j", "k").agg(F.sum(F.col("w") * F.col("_v")).alias("_s"))
+        return names.join(cells).join(fed, [*keys, "i", "j", "k"], "left").select(*keys, "i", "j", "k", F.coalesce("_s", F.lit(0.0)).alias("value"))
     corners = []
     for c in range(8):
         bits = [(c >> n) & 1 for n in range(3)]
@@ -103,6 +113,59 @@ def resampled(volume: DataFrame, source: Grid, target: Grid, method: str = "line
     return names.join(cells).join(fed, [*keys, "i", "j", "k"], "left").select(*keys, "i", "j", "k", F.coalesce("_s", F.lit(0.0)).alias("value"))
 
 
+#: The pole of the cubic B-spline's inverse filter.
+POLE = math.sqrt(3) - 2
+
+
+def _spline_weights(low: Column, part: Column, n: int) -> Column:
+    """Weights and (mirrored) places of the four coefficients around a place on an axis of n voxels."""
+    t = part
+    w = [(1 - t) * (1 - t) * (1 - t) / 6, (4 - 6 * t * t + 3 * t * t * t) / 6, (1 + 3 * t + 3 * t * t - 3 * t * t * t) / 6, t * t * t / 6]
+    at = [F.abs(low + d) for d in (-1, 0, 1, 2)]
+    at = [F.when(x > n - 1, F.lit(2 * (n - 1)) - x).otherwise(x) if n > 1 else F.lit(0) for x in at]
+    return F.array(*[F.struct(a.alias("w"), b.cast("int").alias("at")) for a, b in zip(w, at)])
+
+
+def _spline_lines(lines: np.ndarray) -> np.ndarray:
+    """Coefficients of cubic B-splines through the values of each row, mirrored at both ends: a forward and a backward recursion."""
+    n = lines.shape[1]
+    if n == 1:
+        return lines
+    k = np.arange(n)
+    first = np.where((k == 0) | (k == n - 1), POLE**k, POLE**k + POLE ** (2 * n - 2 - k)) / (1 - POLE ** (2 * n - 2))
+    c = lines.copy()
+    c[:, 0] = lines @ first
+    for i in range(1, n):
+        c[:, i] += POLE * c[:, i - 1]
+    c[:, -1] = POLE / (POLE**2 - 1) * (c[:, -1] + POLE * c[:, -2])
+    for i in range(n - 2, -1, -1):
+        c[:, i] = POLE * (c[:, i + 1] - c[:, i])
+    return 6 * c
+
+
+def spline_coefficients(values: DataFrame, shape: tuple[int, int, int], keys: list[str]) -> DataFrame:
+    """keys..., _i, _j, _k, _v: values (the same columns; missing voxels and values are 0) as coefficients, an axis after another.
+
+    A task has whole lines of voxels, many at a time; no task has a volume.
+    """
+    rows = values.select(*keys, "_i", "_j", "_k", F.coalesce("_v", F.lit(0.0)).alias("_v"))
+    for axis, n in zip(("_i", "_j", "_k"), shape):
+        whole = [*keys, *[c for c in ("_i", "_j", "_k") if c != axis]]
+        lines = rows.groupBy(*whole).agg(F.collect_list(axis).alias("_at"), F.collect_list("_v").alias("_c"))
+        schema = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in whole) + ", _c array<double>"
+
+        def run(batches, n=n, whole=whole):
+            for pdf in batches:
+                dense = np.zeros((len(pdf), n))
+                for r, (at, v) in enumerate(zip(pdf["_at"], pdf["_c"])):
+                    dense[r, at] = v
+                yield pdf[whole].assign(_c=list(_spline_lines(dense)))
+
+        out = lines.mapInPandas(run, schema).select(*whole, F.posexplode("_c").alias(axis, "_v"))
+        rows = out.select(*keys, "_i", "_j", "_k", "_v")
+    return rows
+
+
 def warped(volume: DataFrame, source: Grid, reference: Grid, affine: np.ndarray | None = None, displacement: DataFrame | None = None, method: str = "linear", voxel_size: tuple[float, float, float] | None = None, keys: list[str] | None = None) -> tuple[DataFrame, Grid]:
     """A volume brought to the reference's space by a displacement field and an affine; voxels as large as the source's.
 

@@ -6,7 +6,7 @@ permutation only sums them up, so the permutation table meets (sample, rank) row
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elementwise import NAN, or_nan
 from ..functions.normal import signed_z
+from ..sources.shared import stored
 from .ordering import running_total
 
 DISTANCES = ("euclidean", "sqeuclidean", "manhattan", "cityblock", "chebyshev", "cosine")
@@ -165,47 +166,125 @@ def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
     return F.sqrt(squared) if metric == "euclidean" else squared
 
 
-def top_k_accuracy(candidates: DataFrame, queries: DataFrame, k: int | list[int], metric: str = "euclidean", block: int = 1024) -> DataFrame:
+#: Candidates at most around which the others are put into cells, and the number of candidates that a cell aims at.
+MOST_PIVOTS = 4096
+CELL = 1024
+#: Distances are trusted to this share when a cell is left out or taken whole.
+_MARGIN = 1e-9
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows of a and b, row by row; the same for a pair wherever it is computed."""
+    if metric == "cosine":
+        norm = np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1))
+        return 1 - np.divide((a * b).sum(-1), norm, out=np.zeros(norm.shape), where=norm > 0)
+    if metric == "chebyshev":
+        return np.abs(a - b).max(-1)
+    if metric in ("manhattan", "cityblock"):
+        return np.abs(a - b).sum(-1)
+    d = ((a - b) ** 2).sum(-1)
+    return np.sqrt(d) if metric == "euclidean" else d
+
+
+def _bounding(d: np.ndarray, metric: str) -> np.ndarray:
+    """Distances as ones that obey the triangle inequality, in the same order."""
+    if metric == "sqeuclidean":
+        return np.sqrt(d)
+    # The chord of an angle on the unit sphere.
+    return np.sqrt(np.maximum(2 * d, 0.0)) if metric == "cosine" else d
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
+    return np.stack([_bounding(_distances(x, p[None], metric), metric) for p in pivots], 1)
+
+
+def nearer_candidates(candidates: DataFrame, queries: DataFrame, enough: int, metric: str = "euclidean", block: int = 4096, cell: int = CELL) -> DataFrame:
+    """query_id, n_nearer, n_compared: how many candidates come before a query's own one, exactly up to `enough`.
+
+    candidates has row_pos and vec, queries query_id, true_pos and vec. Before means nearer, or as near with a lower
+    row_pos; n_nearer is NULL for a query whose candidate does not exist. Candidates are put into cells around pivots (a
+    bounded sample of them); a cell whose pivot and radius say that all of it is farther than the query's own candidate is
+    left out, one that is nearer as a whole is counted, and only the rest is compared. Cells and the queries that need them
+    meet in parts of at most about `block` rows each. n_compared tells the number of candidates that were compared.
+    """
+    spark = candidates.sparkSession
+    c = candidates.select(F.col("row_pos").cast("long"), F.col("vec").cast("array<double>"))
+    q = queries.select(F.col("query_id").cast("long"), F.col("true_pos").cast("long"), F.col("vec").cast("array<double>"))
+    n_pivots = max(1, min(MOST_PIVOTS, -(-c.count() // cell)))
+    # MOST_PIVOTS vectors at most.
+    chosen = c.orderBy(F.xxhash64("row_pos"), "row_pos").limit(n_pivots).toPandas()
+    pivots = np.stack(chosen["vec"].to_numpy()) if len(chosen) else np.zeros((1, 1))
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["vec"].to_numpy())
+            d = _to_pivots(x, pivots, metric)
+            own = d.argmin(1)
+            reach = d[np.arange(len(x)), own]
+            if metric == "cosine":
+                # A vector of zeros is as far from everything; no angle bounds it.
+                reach = np.where((x * x).sum(1) > 0, reach, np.inf)
+            yield pdf.assign(cell=own.astype(np.int32), reach=reach)
+
+    placed = stored(c.mapInPandas(put, "row_pos long, vec array<double>, cell int, reach double"), "cells")
+    # A row a pivot.
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).toPandas().sort_values("cell")
+    number, size, radius = cells["cell"].to_numpy(), cells["n"].to_numpy(), cells["radius"].to_numpy()
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, own = np.stack(pdf["vec"].to_numpy()), np.stack(pdf["own"].to_numpy())
+            true = _distances(x, own, metric)
+            bound, d = _bounding(true, metric), _to_pivots(x, pivots[number], metric)
+            if metric == "cosine":
+                bound = np.where((x * x).sum(1) > 0, bound, np.inf)
+            slack = _MARGIN * (1 + bound[:, None] + d)
+            whole = d + radius < bound[:, None] - slack
+            sure = np.where(whole, size, 0).sum(1)
+            # Of unbounded queries nothing is known.
+            sure = np.where(np.isfinite(bound), sure, 0)
+            need = ~(whole & np.isfinite(bound)[:, None]) & (d - radius <= bound[:, None] + slack) & (sure < enough)[:, None]
+            yield pdf[["query_id", "true_pos", "vec"]].assign(d=true, sure=sure, need=[number[r] for r in need])
+
+    both = q.join(c.select(F.col("row_pos").alias("true_pos"), F.col("vec").alias("own")), "true_pos").select("query_id", "true_pos", "vec", "own")
+    wanted = stored(both.mapInPandas(asked, "query_id long, true_pos long, vec array<double>, d double, sure long, need array<int>"), "asked")
+    each = wanted.select("query_id", "true_pos", "vec", "d", F.explode("need").alias("cell"))
+    # A row a pivot.
+    shares = cells.set_index("cell")[["n"]].join(each.groupBy("cell").count().toPandas().set_index("cell"), how="inner")
+    parts = [(int(k), int(-(-n // block)), int(-(-m // block))) for k, n, m in shares.itertuples()]
+    split = F.broadcast(spark.createDataFrame(parts, "cell int, c_parts int, q_parts int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda k, n: F.pmod(F.xxhash64(k), F.col(n)).cast("int")
+    left = placed.join(split, "cell").withColumn("cp", own("row_pos", "c_parts")).withColumn("qp", every("q_parts")).select("cell", "cp", "qp", "row_pos", "vec")
+    right = each.join(split, "cell").withColumn("qp", own("query_id", "q_parts")).withColumn("cp", every("c_parts")).select("cell", "cp", "qp", "query_id", "true_pos", "vec", "d")
+
+    def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "nearer": [], "compared": []}).astype("int64")
+        x, pos = np.stack(a["vec"].to_numpy()), a["row_pos"].to_numpy()
+        nearer = []
+        for v, d, p in zip(b["vec"], b["d"], b["true_pos"]):
+            far = _distances(x, np.asarray(v)[None], metric)
+            nearer.append(int(((far < d) | ((far == d) & (pos < p))).sum()))
+        return pd.DataFrame({"query_id": b["query_id"].to_numpy(), "nearer": nearer, "compared": len(x)})
+
+    met = left.groupBy("cell", "cp", "qp").cogroup(right.groupBy("cell", "cp", "qp")).applyInPandas(compared, "query_id long, nearer long, compared long")
+    sums = met.groupBy("query_id").agg(F.sum("nearer").alias("nearer"), F.sum("compared").alias("compared"))
+    known = wanted.select("query_id", "sure").join(sums, "query_id", "left").select("query_id", (F.col("sure") + F.coalesce("nearer", F.lit(0))).alias("n_nearer"), F.coalesce("compared", F.lit(0)).alias("n_compared"))
+    return q.select("query_id").join(known, "query_id", "left").select("query_id", "n_nearer", F.coalesce("n_compared", F.lit(0)).alias("n_compared"))
+
+
+def top_k_accuracy(candidates: DataFrame, queries: DataFrame, k: int | list[int], metric: str = "euclidean", block: int = 4096, cell: int = CELL) -> DataFrame:
     """k, accuracy, in the order given: how often the true candidate is among the k nearest of a query.
 
-    candidates has row_pos and vec, queries query_id, true_pos and vec. Ties go to the lowest row_pos. The queries are
-    a stated set held against all candidates in blocks: a block of queries meets a block of candidates in one matrix
-    operation, keeps its max(k) nearest, and only these are shuffled and merged.
+    candidates has row_pos and vec, queries query_id, true_pos and vec; ids are distinct. Ties go to the lowest row_pos.
+    The true candidate is among the k nearest if fewer than k come before it (see nearer_candidates).
     """
     ks = [int(x) for x in (k if isinstance(k, (list, tuple, np.ndarray)) else [k])]
     if not ks or min(ks) < 1:
         raise ValueError("k must be 1 or more")
     if metric not in DISTANCES:
         raise ValueError(f"metric must be one of {DISTANCES}")
-    most = max(ks)
-    n_q, n_c = queries.count(), candidates.count()
-    q_blocks, c_blocks = max(1, -(-n_q // block)), max(1, -(-n_c // (16 * block)))
-    left = candidates.select(F.col("row_pos").cast("long"), F.col("vec").cast("array<double>"), F.pmod(F.xxhash64("row_pos"), F.lit(c_blocks)).cast("int").alias("cb"))
-    right = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"))
-    left = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = right.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-
-    def nearest(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(q):
-            return pd.DataFrame({"query_id": [], "row_pos": [], "d": []}).astype({"query_id": "int64", "row_pos": "int64", "d": "float64"})
-        c = c.sort_values("row_pos")
-        a, b = np.stack(q["vec"].to_numpy()), np.stack(c["vec"].to_numpy())
-        if metric in ("euclidean", "sqeuclidean"):
-            d = np.stack([((b - row) ** 2).sum(1) for row in a])
-            d = np.sqrt(d) if metric == "euclidean" else d
-        elif metric == "cosine":
-            norm = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))
-            d = 1 - np.divide(a @ b.T, norm, out=np.zeros_like(norm), where=norm > 0)
-        elif metric == "chebyshev":
-            d = np.stack([np.abs(b - row).max(1) for row in a])
-        else:
-            d = np.stack([np.abs(b - row).sum(1) for row in a])
-        order = np.argsort(d, 1, kind="stable")[:, :most]
-        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), order.shape[1]), "row_pos": c["row_pos"].to_numpy()[order.ravel()], "d": np.take_along_axis(d, order, 1).ravel()})
-
-    near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(nearest, "query_id long, row_pos long, d double")
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "row_pos"))).where(F.col("_r") <= most)
-    truth = queries.select(F.col("query_id").cast("long"), F.col("true_pos").cast("long"))
-    hits = truth.join(ranked, (truth["query_id"] == ranked["query_id"]) & (truth["true_pos"] == ranked["row_pos"]), "left").select(F.col("_r"))
-    counted = hits.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_r") <= x).alias(f"_h{n}") for n, x in enumerate(ks)])
+    found = nearer_candidates(candidates, queries, max(ks), metric, block, cell)
+    counted = found.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("n_nearer") < x).alias(f"_h{n}") for n, x in enumerate(ks)])
     return counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("o"), F.lit(x).alias("k"), F.try_divide(F.col(f"_h{n}").cast("double"), F.col("_n")).alias("accuracy")) for n, x in enumerate(ks)])).alias("s")).select("s.k", "s.accuracy")

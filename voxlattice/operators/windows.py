@@ -45,6 +45,12 @@ def searchlight_members(mask: DataFrame, radius: int, stride: int = 1) -> DataFr
     return found.select("window_id", "ci", "cj", "ck", pos.alias("pos"), "voxel_id")
 
 
+def searchlight_centres(mask: DataFrame, stride: int = 1) -> DataFrame:
+    """window_id, i, j, k of the centres: the mask voxels on the lattice of the stride, numbered in C order."""
+    on = [F.col(c) % stride == 0 for c in "ijk"]
+    return voxel_ids(mask.where(on[0] & on[1] & on[2])).select(F.col("voxel_id").alias("window_id"), "i", "j", "k")
+
+
 def searchlight_windows(mask: DataFrame, radius: int, stride: int = 1) -> DataFrame:
     """window_id, i, j, k (the centre), voxel_ids: one row a window."""
     m = searchlight_members(mask, radius, stride)

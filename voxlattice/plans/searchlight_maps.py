@@ -8,18 +8,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.decoding import windows_decoding
+from ..operators.decoding import searchlight_decoding
 from ..operators.metrics import windowwise_metric
 from ..operators.permutation import permuted_labels
-from ..operators.windows import reconstruct, searchlight_members, suffix_maps
+from ..operators.windows import reconstruct, searchlight_centres, suffix_maps
 from ..sources.nifti import write_volumes
 
 
 def searchlight_predictions(features: DataFrame, mask: DataFrame, targets: DataFrame, radius: int, stride: int = 1, **options) -> tuple[DataFrame, DataFrame]:
     """(predictions of every window, centres window_id, i, j, k)."""
-    members = searchlight_members(mask, radius, stride)
-    centres = members.groupBy("window_id").agg(F.first("ci").alias("i"), F.first("cj").alias("j"), F.first("ck").alias("k"))
-    return windows_decoding(features, members, targets, **options), centres
+    centres = searchlight_centres(mask, stride)
+    return searchlight_decoding(features, mask, targets, radius, stride, **options), centres
 
 
 def metric_maps(predictions: DataFrame, centres: DataFrame, mask: DataFrame, targets: DataFrame, metric: str | Callable = "roc_auc", name: str = "metric", stride: int = 1, permutations: int = 0, seed: int = 0, y_transform: Callable | None = None) -> DataFrame:

@@ -48,6 +48,11 @@ def full_mask(spark: SparkSession) -> DataFrame:
     return GRID.cells(spark)
 
 
+def table_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The voxels whose mean over all images is above 0: an uneven mask."""
+    return volumes.moments(voxels(spark, sf_dir)).where("mean > 0").select("i", "j", "k")
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels(spark, sf_dir).select(F.col("pos").cast("long").alias("voxel_id"), F.col("img_id").alias("sample_id"), "value")
 
@@ -427,11 +432,11 @@ def top_knn_accuracy_manhattan(spark, sf_dir):
 
 # --- windows and decoding ---------------------------------------------------------------------------------------------
 
-CELLS = "g AS (SELECT (x // 16)::INT AS i, (x // 4 % 4)::INT AS j, (x % 4)::INT AS k, x AS voxel_id FROM (SELECT unnest(range(0, 64)) AS x))"
+CELLS = "g AS (SELECT i, j, k, row_number() OVER (ORDER BY i, j, k) - 1 AS voxel_id FROM (SELECT i, j, k FROM v GROUP BY ALL HAVING avg(value) > 0))"
 
 
 def _window_sql(stride: int, radius: int = 1) -> str:
-    return f"""WITH {CELLS}, c AS (SELECT row_number() OVER (ORDER BY i, j, k) - 1 AS window_id, i, j, k FROM g WHERE i % {stride} = 0 AND j % {stride} = 0 AND k % {stride} = 0)
+    return f"""WITH {VOX}, {CELLS}, c AS (SELECT row_number() OVER (ORDER BY i, j, k) - 1 AS window_id, i, j, k FROM g WHERE i % {stride} = 0 AND j % {stride} = 0 AND k % {stride} = 0)
 SELECT window_id, c.i AS ci, c.j AS cj, c.k AS ck, row_number() OVER (PARTITION BY window_id ORDER BY voxel_id) - 1 AS pos, voxel_id FROM c JOIN g ON abs(g.i - c.i) <= {radius} AND abs(g.j - c.j) <= {radius} AND abs(g.k - c.k) <= {radius}"""
 
 
@@ -441,17 +446,17 @@ def _long_pos(df: DataFrame) -> DataFrame:
 
 @query(_window_sql(1))
 def searchlight_windows(spark, sf_dir):
-    return _long_pos(windows.searchlight_members(full_mask(spark), 1))
+    return _long_pos(windows.searchlight_members(table_mask(spark, sf_dir), 1))
 
 
-@query(f"SELECT window_id, count(*) AS size FROM ({_window_sql(1)}) GROUP BY 1")
+@query(f"SELECT window_id, count(*) AS size FROM ({_window_sql(1, 2)}) GROUP BY 1")
 def searchlight_window_sizes(spark, sf_dir):
-    return windows.searchlight_windows(full_mask(spark), 1).select("window_id", F.size("voxel_ids").cast("long").alias("size"))
+    return windows.searchlight_windows(table_mask(spark, sf_dir), 2).select("window_id", F.size("voxel_ids").cast("long").alias("size"))
 
 
 @query(_window_sql(2))
 def searchlight_stride2(spark, sf_dir):
-    return _long_pos(windows.searchlight_members(full_mask(spark), 1, 2))
+    return _long_pos(windows.searchlight_members(table_mask(spark, sf_dir), 1, 2))
 
 
 FOLDS = f"""{VOX}, x AS (SELECT pos AS voxel_id, img_id AS sample_id, img_id % 5 AS split_id, value AS x, label::DOUBLE AS y FROM v),
@@ -504,6 +509,14 @@ def loso_ridge(spark, sf_dir):
     return decoding.leave_one_split_out(features(spark, sf_dir), targets(spark, sf_dir)).select("sample_id", r6("y_pred"), "n_features")
 
 
+@query(f"WITH RECURSIVE {FEATURES}, {_ridge_sql(ALL_FEATURES)} SELECT sample_id, t::INT AS target_id, round(CASE WHEN t = 0 THEN y_pred ELSE 1 - 2 * y_pred END, 6) AS y_pred FROM p, (SELECT unnest([0, 1]) AS t)")
+def loso_two_targets(spark, sf_dir):
+    """Two targets at once, in the order of their ids: the label, and one less twice the label."""
+    one = targets(spark, sf_dir)
+    two = one.withColumn("target_id", F.lit(1)).withColumn("y", 1 - 2 * F.col("y")).unionByName(one.withColumn("target_id", F.lit(0)))
+    return decoding.leave_one_split_out(features(spark, sf_dir), two).select("sample_id", "target_id", r6("y_pred"))
+
+
 @query(f"WITH {FOLDS} SELECT voxel_id, sample_id, split_id, round(y_pred, 6) AS y_pred FROM p")
 def loso_ridge_1f(spark, sf_dir):
     return decoding.one_feature_ridge(features(spark, sf_dir), targets(spark, sf_dir)).select("voxel_id", "sample_id", "split_id", r6("y_pred"))
@@ -561,11 +574,15 @@ def reconstruct_stride1(spark, sf_dir):
     return windows.reconstruct(full_mask(spark), centres, 1, keys=["label"])
 
 
-@query(f"""WITH {CELLS} SELECT i, j, k, CASE WHEN i <= 2 AND j <= 2 AND k <= 2 THEN (1 + 2 * i - 3 * j + 0.5 * k)::FLOAT ELSE 'nan'::FLOAT END AS value FROM g""")
+@query(f"""WITH {VOX}, m AS (SELECT label, i, j, k, avg(value) AS value FROM v GROUP BY ALL)
+SELECT g.label, g.i, g.j, g.k, round(CASE WHEN hi.value IS NULL THEN 'nan' ELSE (lo.value + hi.value) / 2 END::FLOAT::DOUBLE, 5) AS value FROM m g
+JOIN m lo ON lo.label = g.label AND lo.i = g.i // 2 * 2 AND lo.j = g.j // 2 * 2 AND lo.k = g.k // 2 * 2
+LEFT JOIN m hi ON hi.label = g.label AND hi.i = g.i + g.i % 2 AND hi.j = g.j + g.j % 2 AND hi.k = g.k + g.k % 2""")
 def reconstruct_stride2(spark, sf_dir):
+    """Halfway on the lattice of every second voxel, each axis as far as it is: the mean of two corners."""
     on = (F.col("i") % 2 == 0) & (F.col("j") % 2 == 0) & (F.col("k") % 2 == 0)
-    centres = full_mask(spark).where(on).withColumn("value", F.expr("1 + 2 * i - 3 * j + 0.5 * k"))
-    return windows.reconstruct(full_mask(spark), centres, 2)
+    found = windows.reconstruct(full_mask(spark), label_means(spark, sf_dir).where(on), 2, keys=["label"])
+    return found.select("label", "i", "j", "k", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 HALF = grid.Grid((7, 7, 7), ((0.5, 0.0, 0.0, 0.0), (0.0, 0.5, 0.0, 0.0), (0.0, 0.0, 0.5, 0.0), (0.0, 0.0, 0.0, 1.0)))
@@ -596,6 +613,35 @@ def regrid_trilinear(spark, sf_dir):
     return grid.resampled(label_means(spark, sf_dir), GRID, HALF, "linear", keys=["label"]).select("label", "i", "j", "k", r9("value"))
 
 
+def _spline_sql(n: int = 4) -> str:
+    """c (label, i, j, k, value): coefficients of cubic B-splines through m, by a forward and a backward recursion an axis."""
+    z = grid.POLE
+    steps, before = [], "m"
+    for axis in "ijk":
+        on = " AND ".join(f"r.{c} = s.{c}" for c in ["label", *[c for c in "ijk" if c != axis]])
+        others = ", ".join(f"r.{c}" if c != axis else f"r.{axis} + 1 AS {axis}" for c in "ijk")
+        back = ", ".join(f"r.{c}" if c != axis else f"r.{axis} - 1 AS {axis}" for c in "ijk")
+        kept = ", ".join("0 AS " + c if c == axis else c for c in "ijk")
+        group = ", ".join(["label", *[c for c in "ijk" if c != axis]])
+        weight = f"CASE WHEN {axis} IN (0, {n - 1}) THEN pow({z!r}, {axis}) ELSE pow({z!r}, {axis}) + pow({z!r}, {2 * n - 2} - {axis}) END"
+        last = ", ".join(f"{n - 1} AS {c}" if c == axis else f"s.{c}" for c in "ijk")
+        steps.append(f"""f_{axis} AS (SELECT label, {kept}, sum(value * {weight}) / {1 - z ** (2 * n - 2)!r} AS value FROM {before} GROUP BY {group}
+  UNION ALL SELECT r.label, {others}, s.value + {z!r} * r.value FROM f_{axis} r JOIN {before} s ON {on} AND s.{axis} = r.{axis} + 1),
+b_{axis} AS (SELECT s.label, {last}, {z / (z * z - 1)!r} * (s.value + {z!r} * r.value) AS value FROM f_{axis} s JOIN f_{axis} r ON {on} AND s.{axis} = {n - 1} AND r.{axis} = {n - 2}
+  UNION ALL SELECT r.label, {back}, {z!r} * (r.value - s.value) FROM b_{axis} r JOIN f_{axis} s ON {on} AND s.{axis} = r.{axis} - 1),
+c_{axis} AS (SELECT label, i, j, k, 6 * value AS value FROM b_{axis})""")
+        before = f"c_{axis}"
+    return ", ".join(steps)
+
+
+@query(f"""WITH RECURSIVE {VOX}, {_MEANS}, {HALF_CELLS}, {_spline_sql()},
+near AS (SELECT half, CASE WHEN abs(place) > 3 THEN 6 - abs(place) ELSE abs(place) END AS place, sum(w) AS w FROM (SELECT half, half // 2 + d AS place, CASE WHEN half % 2 = 0 THEN CASE abs(d) WHEN 0 THEN 4 / 6.0 WHEN 1 THEN 1 / 6.0 ELSE 0 END ELSE CASE WHEN d IN (0, 1) THEN 23 / 48.0 ELSE 1 / 48.0 END END AS w
+  FROM (SELECT unnest(range(0, 7)) AS half), (SELECT unnest([-1, 0, 1, 2]) AS d)) WHERE w > 0 GROUP BY ALL)
+SELECT c.label, h.i, h.j, h.k, round(sum(c.value * x.w * y.w * z.w), 9) AS value FROM h JOIN near x ON x.half = h.i JOIN near y ON y.half = h.j JOIN near z ON z.half = h.k JOIN c_k c ON c.i = x.place AND c.j = y.place AND c.k = z.place GROUP BY ALL""")
+def regrid_bspline(spark, sf_dir):
+    return grid.resampled(label_means(spark, sf_dir), GRID, HALF, "bspline", keys=["label"]).select("label", "i", "j", "k", r9("value"))
+
+
 @query(f"WITH {VOX}, {_MEANS}, h AS (SELECT i, j, k FROM m WHERE label = (SELECT min(label) FROM m)), l AS (SELECT DISTINCT label FROM m) {_linear_sql(lo='h.{a}', part='0.25')}")
 def affine_warp(spark, sf_dir):
     """Every voxel is taken a quarter of a voxel further on; half of that is the affine's, half the field's."""
