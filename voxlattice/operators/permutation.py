@@ -39,6 +39,11 @@ def permuted_labels(samples: DataFrame, n: int, seed: int = 0, sample: str = "sa
     r-th. Slots are numbered once, over ranges; the order by MD5 goes by buckets of its leading bits, whose counts are summed
     up, so a split with most of the rows is many buckets, and no task sorts it. Sample ids are distinct.
     """
+    return labels_by_split(samples, n, seed, sample, split, label, bucket).select("perm_id", "sample_id", "y")
+
+
+def labels_by_split(samples: DataFrame, n: int, seed: int = 0, sample: str = "sample_id", split: str = "split_id", label: str = "y", bucket: int = BUCKET) -> DataFrame:
+    """perm_id, split_id, sample_id, y of permuted_labels(); here a sample may be in several splits."""
     if n < 1:
         raise ValueError("the number of permutations must be 1 or more")
     base = samples.select(F.col(sample).alias("sample_id"), F.col(split).alias("split_id"), F.col(label).alias("y"))
@@ -60,7 +65,7 @@ def permuted_labels(samples: DataFrame, n: int, seed: int = 0, sample: str = "sa
     source = ranked.join(before.select(*named, "_before"), on).select("perm_id", "split_id", "y", (F.col("_before") + F.col("_place")).alias("_r"))
     other = source.select(F.col("perm_id").alias("perm_id_2"), F.col("split_id").alias("split_id_2"), F.col("_r").alias("_r_2"), "y")
     on = (F.col("perm_id") == F.col("perm_id_2")) & F.col("split_id").eqNullSafe(F.col("split_id_2")) & (F.col("_r") == F.col("_r_2"))
-    return to.join(other, on).select("perm_id", "sample_id", "y")
+    return to.join(other, on).select("perm_id", "split_id", "sample_id", "y")
 
 
 def sign(seed: int, perm: int, row: str) -> int:
