@@ -48,3 +48,24 @@ def test_queries_without_their_candidate_miss(spark):
     cands, asks = frames(spark, np.eye(3), np.eye(3), [0, 9, None])
     assert [r["n_nearer"] for r in metrics.nearer_candidates(cands, asks, 2).orderBy("query_id").collect()] == [0, None, None]
     assert metrics.top_k_accuracy(cands, asks, 1).first()["accuracy"] == pytest.approx(1 / 3)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
+def test_queries_with_enough_go_no_further(spark, metric):
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(3000, 16))
+    true = rng.integers(0, 3000, 100)
+    # Their own candidate is as far as any other.
+    cands, asks = frames(spark, c, rng.normal(size=(100, 16)), true)
+    found = metrics.nearer_candidates(cands, asks, 3, metric, 64, 100)
+    assert found.agg(F.sum("n_compared")).first()[0] / (3000 * 100) < 0.3
+    assert found.where("n_nearer >= 3").count() > 90
+
+
+def test_a_candidate_that_is_no_number_hides_no_other(spark):
+    c = np.arange(12.0)[:, None] * np.ones((1, 2))
+    c[4] = np.nan
+    cands, asks = frames(spark, c, np.full((1, 2), 3.4), [6])
+    for metric in ("euclidean", "manhattan"):
+        # 3, 2, 5 and 1 are nearer than 6
+        assert metrics.nearer_candidates(cands, asks, 9, metric, cell=100).first()["n_nearer"] == 4

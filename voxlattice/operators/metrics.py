@@ -10,11 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import NAN, or_nan
 from ..functions.normal import signed_z
+from ..sources.paths import filesystem
 from ..sources.shared import stored
 from .ordering import running_total
 
@@ -169,6 +172,9 @@ def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
 #: Candidates at most around which the others are put into cells, and the number of candidates that a cell aims at.
 MOST_PIVOTS = 4096
 CELL = 1024
+#: Rows whose distances to all pivots are held at a time, and queries that a task is given.
+ROWS = 1024
+ROWS_OF_TASK = 8192
 #: Distances are trusted to this share when a cell is left out or taken whole.
 _MARGIN = 1e-9
 
@@ -198,14 +204,75 @@ def _to_pivots(x: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
     return np.stack([_bounding(_distances(x, p[None], metric), metric) for p in pivots], 1)
 
 
+class _Block:
+    """Candidates that queries are compared with, at most a few thousand: row numbers and vectors."""
+
+    def __init__(self, pos: np.ndarray, x: np.ndarray, metric: str) -> None:
+        self.pos, self.x, self.metric = pos, x, metric
+        if metric == "cosine":
+            norm = np.sqrt((x * x).sum(1))
+            self.side = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0).T
+        elif metric in ("euclidean", "sqeuclidean"):
+            self.square = (x * x).sum(1)
+            self.side = -2 * x.T
+        else:
+            self.side = np.ascontiguousarray(x.T)
+
+    def nearer(self, q: np.ndarray, d: np.ndarray, true: np.ndarray) -> np.ndarray:
+        """How many come before each query's own candidate, which has distance d and row number true.
+
+        Distances of all pairs come from a product, or from sums a dimension at a time; those too near d for the rounding
+        of these to tell are computed again, pair by pair.
+        """
+        rounding = 4 * (q.shape[1] + 8) * np.finfo(float).eps
+        if self.metric == "cosine":
+            norm = np.sqrt((q * q).sum(1))
+            far = np.divide(q, norm[:, None], out=np.zeros_like(q), where=norm[:, None] > 0) @ self.side
+            np.subtract(1.0, far, out=far)
+            own, slack = d, np.full(len(q), rounding)
+        elif self.metric in ("euclidean", "sqeuclidean"):
+            far = q @ self.side
+            far += self.square
+            square = (q * q).sum(1)
+            far += square[:, None]
+            own = d if self.metric == "sqeuclidean" else d * d
+            slack = rounding * (np.sqrt(square) + np.sqrt(np.fmax.reduce(self.square, initial=0.0))) ** 2 + rounding * own
+        else:
+            far, part = np.zeros((len(q), len(self.pos))), np.empty((len(q), len(self.pos)))
+            into = np.maximum if self.metric == "chebyshev" else np.add
+            for x, v in zip(self.side, q.T):
+                np.subtract(x, v[:, None], out=part)
+                np.abs(part, out=part)
+                into(far, part, out=far)
+            own, slack = d, rounding * d
+        line = np.flatnonzero((far <= (own + slack)[:, None]).any(1))
+        out = np.zeros(len(q), np.int64)
+        if len(line):
+            far, low = far[line], (own - slack)[line, None]
+            sure = far < low
+            out[line] = sure.sum(1)
+            i, j = np.nonzero((far <= (own + slack)[line, None]) & ~sure)
+            for at in range(0, len(i), 4096):
+                a, b = line[i[at : at + 4096]], j[at : at + 4096]
+                again = _distances(self.x[b], q[a], self.metric)
+                np.add.at(out, a, (again < d[a]) | ((again == d[a]) & (self.pos[b] < true[a])))
+        return out
+
+
+#: Pairs whose distances are held at a time: by a product, and a dimension at a time.
+_PRODUCT, _TILE = 1 << 22, 1 << 16
+
+
 def nearer_candidates(candidates: DataFrame, queries: DataFrame, enough: int, metric: str = "euclidean", block: int = 4096, cell: int = CELL) -> DataFrame:
     """query_id, n_nearer, n_compared: how many candidates come before a query's own one, exactly up to `enough`.
 
     candidates has row_pos and vec, queries query_id, true_pos and vec. Before means nearer, or as near with a lower
     row_pos; n_nearer is NULL for a query whose candidate does not exist. Candidates are put into cells around pivots (a
     bounded sample of them); a cell whose pivot and radius say that all of it is farther than the query's own candidate is
-    left out, one that is nearer as a whole is counted, and only the rest is compared. Cells and the queries that need them
-    meet in parts of at most about `block` rows each. n_compared tells the number of candidates that were compared.
+    left out, one that is nearer as a whole is counted, and only the rest is compared. Cells are written as blocks of at
+    most `block` candidates; a task has some thousand queries and reads the blocks one after the other, and a query that
+    has `enough` nearer candidates goes no further. So only blocks are in memory, and no query is sent to cells.
+    n_compared tells the number of candidates that were compared.
     """
     spark = candidates.sparkSession
     c = candidates.select(F.col("row_pos").cast("long"), F.col("vec").cast("array<double>"))
@@ -217,61 +284,83 @@ def nearer_candidates(candidates: DataFrame, queries: DataFrame, enough: int, me
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.stack(pdf["vec"].to_numpy())
-            d = _to_pivots(x, pivots, metric)
-            own = d.argmin(1)
-            reach = d[np.arange(len(x)), own]
-            if metric == "cosine":
-                # A vector of zeros is as far from everything; no angle bounds it.
-                reach = np.where((x * x).sum(1) > 0, reach, np.inf)
-            yield pdf.assign(cell=own.astype(np.int32), reach=reach)
+            for at in range(0, len(pdf), ROWS):
+                part = pdf.iloc[at : at + ROWS]
+                x = np.stack(part["vec"].to_numpy())
+                d = _to_pivots(x, pivots, metric)
+                own = d.argmin(1)
+                reach = d[np.arange(len(x)), own]
+                # What has a NaN is as far from everything, and so is a vector of zeros from all angles; nothing bounds them.
+                reach = np.where(np.isnan(reach) | ((metric == "cosine") & ~((x * x).sum(1) > 0)), np.inf, reach)
+                yield part.assign(cell=own.astype(np.int32), reach=reach)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, own in pdf.groupby("cell", sort=False):
+                for at in range(0, len(own), block):
+                    part = own.iloc[at : at + block]
+                    x = np.stack(part["vec"].to_numpy()).astype(float)
+                    yield pd.DataFrame({"cell": [k], "pos": [part["row_pos"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
 
     placed = stored(c.mapInPandas(put, "row_pos long, vec array<double>, cell int, reach double"), "cells")
     # A row a pivot.
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).toPandas().sort_values("cell")
     number, size, radius = cells["cell"].to_numpy(), cells["n"].to_numpy(), cells["radius"].to_numpy()
-
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks = stored(placed.repartitionByRange("cell", "row_pos").sortWithinPartitions("cell", "row_pos").mapInPandas(packed, "cell int, pos binary, x binary"), "blocks")
+    folder = blocks._voxlattice_stored
+
+    def needed(x: np.ndarray, true: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many candidates are surely nearer, and which cells have to be looked at."""
+        bound, d = _bounding(true, metric), _to_pivots(x, pivots[number], metric)
+        if metric == "cosine":
+            bound = np.where((x * x).sum(1) > 0, bound, np.inf)
+        slack = _MARGIN * (1 + bound[:, None] + d)
+        # Of unbounded queries nothing is known.
+        whole = (d + radius < bound[:, None] - slack) & np.isfinite(bound)[:, None]
+        sure = np.where(whole, size, 0).sum(1)
+        return sure, ~whole & (d - radius <= bound[:, None] + slack)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x, own = np.stack(pdf["vec"].to_numpy()), np.stack(pdf["own"].to_numpy())
-            true = _distances(x, own, metric)
-            bound, d = _bounding(true, metric), _to_pivots(x, pivots[number], metric)
-            if metric == "cosine":
-                bound = np.where((x * x).sum(1) > 0, bound, np.inf)
-            slack = _MARGIN * (1 + bound[:, None] + d)
-            whole = d + radius < bound[:, None] - slack
-            sure = np.where(whole, size, 0).sum(1)
-            # Of unbounded queries nothing is known.
-            sure = np.where(np.isfinite(bound), sure, 0)
-            need = ~(whole & np.isfinite(bound)[:, None]) & (d - radius <= bound[:, None] + slack) & (sure < enough)[:, None]
-            yield pdf[["query_id", "true_pos", "vec"]].assign(d=true, sure=sure, need=[number[r] for r in need])
-
-    both = q.join(c.select(F.col("row_pos").alias("true_pos"), F.col("vec").alias("own")), "true_pos").select("query_id", "true_pos", "vec", "own")
-    wanted = stored(both.mapInPandas(asked, "query_id long, true_pos long, vec array<double>, d double, sure long, need array<int>"), "asked")
-    each = wanted.select("query_id", "true_pos", "vec", "d", F.explode("need").alias("cell"))
-    # A row a pivot.
-    shares = cells.set_index("cell")[["n"]].join(each.groupBy("cell").count().toPandas().set_index("cell"), how="inner")
-    parts = [(int(k), int(-(-n // block)), int(-(-m // block))) for k, n, m in shares.itertuples()]
-    split = F.broadcast(spark.createDataFrame(parts, "cell int, c_parts int, q_parts int"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda k, n: F.pmod(F.xxhash64(k), F.col(n)).cast("int")
-    left = placed.join(split, "cell").withColumn("cp", own("row_pos", "c_parts")).withColumn("qp", every("q_parts")).select("cell", "cp", "qp", "row_pos", "vec")
-    right = each.join(split, "cell").withColumn("qp", own("query_id", "q_parts")).withColumn("cp", every("c_parts")).select("cell", "cp", "qp", "query_id", "true_pos", "vec", "d")
-
-    def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "nearer": [], "compared": []}).astype("int64")
-        x, pos = np.stack(a["vec"].to_numpy()), a["row_pos"].to_numpy()
-        nearer = []
-        for v, d, p in zip(b["vec"], b["d"], b["true_pos"]):
-            far = _distances(x, np.asarray(v)[None], metric)
-            nearer.append(int(((far < d) | ((far == d) & (pos < p))).sum()))
-        return pd.DataFrame({"query_id": b["query_id"].to_numpy(), "nearer": nearer, "compared": len(x)})
-
-    met = left.groupBy("cell", "cp", "qp").cogroup(right.groupBy("cell", "cp", "qp")).applyInPandas(compared, "query_id long, nearer long, compared long")
-    sums = met.groupBy("query_id").agg(F.sum("nearer").alias("nearer"), F.sum("compared").alias("compared"))
-    known = wanted.select("query_id", "sure").join(sums, "query_id", "left").select("query_id", (F.col("sure") + F.coalesce("nearer", F.lit(0))).alias("n_nearer"), F.coalesce("compared", F.lit(0)).alias("n_compared"))
-    return q.select("query_id").join(known, "query_id", "left").select("query_id", "n_nearer", F.coalesce("n_compared", F.lit(0)).alias("n_compared"))
+            x, own, true = np.stack(pdf["vec"].to_numpy()), np.stack(pdf["own"].to_numpy()), pdf["true_pos"].to_numpy(np.int64)
+            d = _distances(x, own, metric)
+            parts = [needed(x[at : at + ROWS], d[at : at + ROWS]) for at in range(0, len(x), ROWS)]
+            found, need = (np.concatenate(p) for p in zip(*parts))
+            compared = np.zeros(len(x), np.int64)
+            # Tasks begin at different blocks.
+            for k, pos, v in _blocks(folder, int(pdf["query_id"].iloc[0])):
+                column = need[:, np.searchsorted(number, k)]
+                if not (column & (found < enough)).any():
+                    continue
+                some = metric not in ("cosine", "euclidean", "sqeuclidean")
+                step = 1024 if some else len(pos)
+                for at in range(0, len(pos), step):
+                    one = _Block(pos[at : at + step], v[at : at + step], metric)
+                    asked = np.flatnonzero(column & (found < enough))
+                    tile = max(1, (_TILE if some else _PRODUCT) // len(one.pos))
+                    for a in range(0, len(asked), tile):
+                        rows = asked[a : a + tile]
+                        found[rows] += one.nearer(x[rows], d[rows], true[rows])
+                        compared[rows] += len(one.pos)
+            yield pd.DataFrame({"query_id": pdf["query_id"], "n_nearer": found, "n_compared": compared})
+
+    both = q.join(placed.select(F.col("row_pos").alias("true_pos"), F.col("vec").alias("own")), "true_pos").select("query_id", "true_pos", "vec", "own")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-both.count() // ROWS_OF_TASK))
+    known = both.repartition(tasks, "query_id").mapInPandas(counted, "query_id long, n_nearer long, n_compared long")
+    return q.select("query_id").join(known, "query_id", "left").select("query_id", "n_nearer", F.coalesce("n_compared", F.lit(0).cast("long")).alias("n_compared"))
+
+
+def _blocks(folder: str, first: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """cell, row numbers and vectors of each written block, a few blocks in memory; first says with which file to begin."""
+    where, inner = filesystem(folder)
+    files = sorted(x.path for x in where.get_file_info(fs.FileSelector(inner)) if x.path.endswith(".parquet"))
+    at = first % max(1, len(files))
+    for path in files[at:] + files[:at]:
+        with where.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=4):
+                for k, pos, x in zip(*(batch.column(c) for c in ("cell", "pos", "x"))):
+                    pos = np.frombuffer(pos.as_buffer(), np.int64)
+                    yield k.as_py(), pos, np.frombuffer(x.as_buffer(), float).reshape(len(pos), -1)
 
 
 def top_k_accuracy(candidates: DataFrame, queries: DataFrame, k: int | list[int], metric: str = "euclidean", block: int = 4096, cell: int = CELL) -> DataFrame:
