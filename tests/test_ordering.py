@@ -78,3 +78,15 @@ def test_a_hot_split_is_spread(spark):
     lead = F.shiftright(F.conv(F.substring(F.md5(F.concat(F.lit("0:0:"), F.col("sample_id").cast("string"))), 1, 8), 16, 10).cast("long") * n, 32)
     most = rows.where("split_id = -1").groupBy(lead).count().agg(F.max("count"), F.count("*")).first()
     assert most[0] < 700 and most[1] == 20
+
+
+def test_permutations_of_a_small_table_are_dealt_before_they_are_made(spark):
+    rows = spark.range(300).selectExpr("id AS sample_id", "id % 3 AS split_id", "CAST(id % 2 AS int) AS y").coalesce(1)
+    found = permutation.permuted_labels(rows, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Wherever copies of the rows are made, it is from rows that are dealt out to a given number of tasks.
+    assert plan.count("Generate explode") == plan.count("RepartitionByExpression") > 0
+    for made in plan.split("Generate explode")[1:]:
+        assert "RepartitionByExpression" in made
+    got = found.groupBy("perm_id").agg(F.count("sample_id"), F.sum("y")).collect()
+    assert sorted(map(tuple, got)) == [(p, 300, 150) for p in range(5)]

@@ -46,15 +46,19 @@ def labels_by_split(samples: DataFrame, n: int, seed: int = 0, sample: str = "sa
     """perm_id, split_id, sample_id, y of permuted_labels(); here a sample may be in several splits."""
     if n < 1:
         raise ValueError("the number of permutations must be 1 or more")
+    spark = samples.sparkSession
     base = samples.select(F.col(sample).alias("sample_id"), F.col(split).alias("split_id"), F.col(label).alias("y"))
     slots = running_total(base, ["split_id"], ["sample_id"], name="_r")
     many = base.groupBy("split_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(bucket)).alias("_n")).withColumnRenamed("split_id", "_split")
     perms = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    to = slots.select("sample_id", "split_id", "_r").withColumn("perm_id", perms)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col("sample_id").cast("string")))
-    keyed = base.join(many, base["split_id"].eqNullSafe(F.col("_split"))).drop("_split").withColumn("perm_id", perms).withColumn("_key", key)
+    # Bytes have the order of their digits and are half as long.
+    key = F.unhex(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col("sample_id").cast("string"))))
+    # A number given keeps small tables, which are n times as large a step later, from being put into one task.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = base.join(many, base["split_id"].eqNullSafe(F.col("_split"))).drop("_split").repartition(parts, "sample_id")
+    keyed = spread.withColumn("perm_id", perms).withColumn("_key", key)
     # The leading 32 bits of the MD5, as a share of all: in order of the MD5.
-    lead = F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("_n"), 32)
+    lead = F.shiftright(F.conv(F.hex(F.substring("_key", 1, 4)), 16, 10).cast("long") * F.col("_n"), 32)
     keyed = keyed.withColumn("_bucket", lead.cast("long"))
     counts = keyed.groupBy("perm_id", "split_id", "_bucket").agg(F.count(F.lit(1)).alias("_of"))
     before = counts.withColumn("_before", F.sum("_of").over(Window.partitionBy("perm_id", "split_id").orderBy("_bucket")) - F.col("_of")).drop("_of")
@@ -63,9 +67,10 @@ def labels_by_split(samples: DataFrame, n: int, seed: int = 0, sample: str = "sa
     ranked = keyed.withColumn("_place", place)
     on = (F.col("perm_id") == F.col("perm_id_2")) & F.col("split_id").eqNullSafe(F.col("split_id_2")) & (F.col("_bucket") == F.col("_bucket_2"))
     source = ranked.join(before.select(*named, "_before"), on).select("perm_id", "split_id", "y", (F.col("_before") + F.col("_place")).alias("_r"))
-    other = source.select(F.col("perm_id").alias("perm_id_2"), F.col("split_id").alias("split_id_2"), F.col("_r").alias("_r_2"), "y")
-    on = (F.col("perm_id") == F.col("perm_id_2")) & F.col("split_id").eqNullSafe(F.col("split_id_2")) & (F.col("_r") == F.col("_r_2"))
-    return to.join(other, on).select("perm_id", "split_id", "sample_id", "y")
+    # A slot is the same in all permutations, so it is a row once and not once for each.
+    to = slots.select("sample_id", F.col("split_id").alias("split_id_2"), F.col("_r").alias("_r_2"))
+    on = F.col("split_id").eqNullSafe(F.col("split_id_2")) & (F.col("_r") == F.col("_r_2"))
+    return source.join(to, on).select("perm_id", "split_id", "sample_id", "y")
 
 
 def sign(seed: int, perm: int, row: str) -> int:
