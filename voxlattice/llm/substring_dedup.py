@@ -92,22 +92,44 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def cartesian_subtrees(values: list[int]) -> tuple[list[int], list[int]]:
-    """Nearest smaller neighbours on either side (-1 and len if none), by the stack that builds a Cartesian tree."""
+    """Nearest neighbours on either side that are less (-1 and len if none), by the stack that builds a Cartesian tree."""
     left, right, stack = [-1] * len(values), [len(values)] * len(values), []
     for i, v in enumerate(values):
         while stack and values[stack[-1]] > v:
             right[stack.pop()] = i
         if stack:
-            left[i] = stack[-1]
+            left[i] = stack[-1] if values[stack[-1]] < v else left[stack[-1]]
         stack.append(i)
     return left, right
 
 
+def _thinned(c: np.ndarray, value: np.ndarray, start: np.ndarray, begins: np.ndarray, least: int) -> np.ndarray:
+    """Which of the minima c (ascending) are nodes: of equal ones, so many that each run of `least` values has one.
+
+    start is the first run that c is the leftmost minimum of, begins tells where a text does. Runs that follow each other
+    with equal minima are a chain. Its first run takes the last of its minima, the first run without that does so again.
+    """
+    head = begins | np.append(True, value[1:] != value[:-1])
+    at = np.flatnonzero(head)
+    last = np.append(at[1:], len(c)) - 1
+    keep = np.zeros(len(c), bool)
+    reach = start[at] + least - 1
+    while len(last):
+        now = np.minimum(np.searchsorted(c, reach, "right") - 1, last)
+        keep[now] = True
+        # what lies behind is the leftmost of a run without this one
+        more = now < last
+        reach, last = c[now[more]] + least, last[more]
+    return keep
+
+
 def compact_windows(values: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, l, c, r), both ends included, of all compact windows of at least `least` shingles.
 
     values are the hash values of all texts end to end, off their offsets. Only minima of runs of `least` values are
     nodes of the tree; the nearest smaller neighbour of such a minimum is one too, so the subtree's ends are right.
+    Where a value comes again and again (repeated words), not each is a node, but each run has a minimum that is: any of
+    them may stand for its passages, and windows go on over equal values to either side.
     """
     fits = np.maximum(np.diff(off) - least + 1, 0)
     if not fits.any():
@@ -118,7 +140,9 @@ def compact_windows(values: np.ndarray, off: np.ndarray, least: int = LEAST) ->
     c = sliding_argmin(values, least)[start]
     new = np.ones(len(c), bool)
     new[1:] = (c[1:] != c[:-1]) | (who[1:] != who[:-1])
-    c, text = c[new], who[new]
+    c, text, start = c[new], who[new], start[new]
+    keep = _thinned(c, values[c] >> np.uint64(24), start, np.append(True, text[1:] != text[:-1]), least)
+    c, text = c[keep], text[keep]
     # One tree for each text: between texts stands a value below all others.
     first = np.ones(len(c), bool)
     first[1:] = text[1:] != text[:-1]
@@ -294,15 +318,25 @@ def held_by_others(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, more_than:
     return out
 
 
+#: Places from the centre outwards, and how far out each place stands in that order.
+_OUTWARDS = np.argsort(np.abs(np.arange(_WIDE) - _SIDE), kind="stable")
+_RANK = np.argsort(_OUTWARDS).astype(np.uint64)
+
+
 def _places_in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each code of b's rows a place of it in the same row of a, -1 if it has none."""
+    """For each code of b's rows its place in the same row of a, -1 if it has none; of several places the one nearest to the centre."""
     n = len(a)
-    order = np.argsort(a, 1)
-    line = np.arange(n, dtype=np.uint64)[:, None] << np.uint64(32)
-    flat = (np.take_along_axis(a, order, 1) | line).ravel()
-    sought = (b | line).ravel()
-    at = np.minimum(np.searchsorted(flat, sought), len(flat) - 1)
-    return np.where((flat[at] == sought) & (b.ravel() != 0), order.ravel()[at], -1).reshape(b.shape)
+    line = np.arange(n, dtype=np.uint64)[:, None] << np.uint64(40)
+    flat = (np.sort(a.astype(np.uint64) << np.uint64(8) | _RANK, 1) | line).ravel()
+    sought = (b.astype(np.uint64) << np.uint64(8) | line).ravel()
+    at = flat[np.minimum(np.searchsorted(flat, sought), len(flat) - 1)] if len(flat) else flat
+    return np.where((at >> np.uint64(8) == sought >> np.uint64(8)) & (b.ravel() != 0), _OUTWARDS[(at & np.uint64(255)).astype(np.int64)], -1).reshape(b.shape)
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    """The number of distinct codes of each row, 0 not counted."""
+    codes = np.sort(codes, 1)
+    return ((codes[:, 1:] != codes[:, :-1]) & (codes[:, 1:] != 0)).sum(1) + (codes[:, 0] != 0)
 
 
 def _trim(both: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
@@ -325,13 +359,16 @@ def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     both = may_be_alike(in_b >= 0)
     both[both] = has_run(in_b[both] >= 0) | has_run(in_a[some[both]] >= 0)
     some, in_b = some[both], in_b[both]
-    for x, v in zip(out, _passages(in_b, in_a[some])):
+    for x, v in zip(out, _passages(in_b, in_a[some], a[some], b[some])):
         x[some] = v
     return tuple(out)
 
 
-def _passages(in_b: np.ndarray, in_a: np.ndarray) -> tuple[np.ndarray, ...]:
-    """alike() by the places in the other of the codes of either."""
+def _passages(in_b: np.ndarray, in_a: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """alike() by the places in the other of the codes of either.
+
+    Passages in which codes repeat may be similar by other measures: see _repetitive().
+    """
     (a0, a1), (b0, b1) = longest_runs(in_b >= 0), longest_runs(in_a >= 0)
     place = np.arange(_WIDE)
     out_a, out_b = (a1 == 0) & (b1 > 0), (b1 == 0) & (a1 > 0)
@@ -347,7 +384,56 @@ def _passages(in_b: np.ndarray, in_a: np.ndarray) -> tuple[np.ndarray, ...]:
     common = np.minimum(both_a.sum(1), both_b.sum(1))
     size = np.maximum(a1 - a0, LEAST) + np.maximum(b1 - b0, LEAST)
     similarity = common / np.maximum(size - common, 1)
-    return a0, a1, b0, b1, np.where((a1 > 0) & (b1 > 0) & (similarity >= SIMILARITY - 1e-9), similarity, 0.0)
+    similarity[(a1 == 0) | (b1 == 0)] = 0
+    unsure = np.flatnonzero((similarity < SIMILARITY - 1e-9) & (a1 - a0 >= LEAST) & (b1 - b0 >= LEAST))
+    for at in range(0, len(unsure), 1024):
+        x = unsure[at : at + 1024]
+        x = x[_repeats(a[x], a0[x], a1[x]) | _repeats(b[x], b0[x], b1[x])]
+        a0[x], a1[x], b0[x], b1[x], similarity[x] = _repetitive(a[x], b[x], a0[x], a1[x], b0[x], b1[x], similarity[x])
+    return a0, a1, b0, b1, np.where(similarity >= SIMILARITY - 1e-9, similarity, 0.0)
+
+
+def _within(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The codes from lo to hi of each row, 0 elsewhere."""
+    place = np.arange(_WIDE)
+    return np.where((place >= lo[:, None]) & (place < hi[:, None]), codes, 0)
+
+
+def _repeats(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    own = _within(codes, lo, hi)
+    return _distinct(own) < (own != 0).sum(1)
+
+
+def _repetitive(a: np.ndarray, b: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """_passages() again, from its results, for passages in which codes repeat: whichever of these is most similar.
+
+    The passages by their sets of codes; and, as numbers of shingles, the shorter one with a part of the longer one that is
+    as long, holds the centre and has most shingles in common, the first or last such part.
+    """
+    best = [x.copy() for x in ends]
+    a0, a1, b0, b1 = ends[:4]
+    own, other = _within(a, a0, a1), _within(b, b0, b1)
+    union = _distinct(np.concatenate([own, other], 1))
+    best[4] = np.maximum(best[4], (_distinct(own) + _distinct(other) - union) / np.maximum(union, 1))
+    first = np.arange(_SIDE + 1)
+    swap = (a1 - a0 > b1 - b0)[:, None]
+    short, long = np.where(swap, other, own), np.where(swap, own, other)
+    n, lo, hi = np.minimum(a1 - a0, b1 - b0)[:, None], np.where(swap[:, 0], a0, b0)[:, None], np.where(swap[:, 0], a1, b1)[:, None]
+    count = np.zeros((len(a), _WIDE + 1), np.int64)
+    np.cumsum(_places_in(short, long) >= 0, 1, out=count[:, 1:])
+    fits = (first >= lo) & (first + n <= hi) & (first + n > _SIDE)
+    held = np.where(fits, np.take_along_axis(count, np.minimum(first + n, _WIDE), 1) - count[:, : _SIDE + 1], -1)
+    for at in (held.argmax(1), _SIDE - held[:, ::-1].argmax(1)):
+        to = at + n[:, 0]
+        part = _within(long, at, to)
+        common = np.minimum((_places_in(short, part) >= 0).sum(1), (_places_in(part, short) >= 0).sum(1))
+        similarity = common / np.maximum(2 * n[:, 0] - common, 1)
+        more = fits.any(1) & (similarity > best[4])
+        best[4][more] = similarity[more]
+        for k, mine in ((0, swap[:, 0]), (2, ~swap[:, 0])):
+            # the side that is not cut keeps its ends
+            best[k][more], best[k + 1][more] = np.where(mine, at, ends[k])[more], np.where(mine, to, ends[k + 1])[more]
+    return best
 
 
 def _level(held: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -421,7 +507,9 @@ class Forest:
         if not len(some):
             return some
         in_x, there = in_x[some], there[some]
-        line, place = np.nonzero(there)
+        # of several places the nearest to the centre, which comes last
+        line, place = np.nonzero(there[:, _OUTWARDS[::-1]])
+        place = _OUTWARDS[::-1][place]
         in_y = np.full(in_x.shape, -1, np.int16)
         in_y[line, in_x[line, place]] = place
         in_y = np.where(own >= 0, in_y[:, own], np.int16(-1))
@@ -438,7 +526,8 @@ class Forest:
         rest = ~flat
         rest[flat] = found[4][flat] < SIMILARITY
         if rest.any():
-            for k, v in enumerate(_passages(in_y[rest], in_x[rest])):
+            y = ys[some[rest]]
+            for k, v in enumerate(_passages(in_y[rest], in_x[rest], np.broadcast_to(c.codes[x], (len(y), _WIDE)), c.codes[y])):
                 found[k][rest] = v
         x0, x1, y0, y1, sim = found
         good = sim > 0
@@ -524,7 +613,7 @@ class Forest:
             near = np.flatnonzero(may_share(x)[ys])
             if not len(near):
                 return found[0]
-            there = np.flatnonzero(codes[x])
+            there = _OUTWARDS[::-1][codes[x][_OUTWARDS[::-1]] != 0]
             at_hand[number[x, there]] = there
             own = np.where(codes[x] != 0, at_hand[number[x]], -1)
             for at in range(0, len(near), 1024):
